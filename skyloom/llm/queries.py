@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import frame_files, hash_tree, packing, rlz
+from skyloom.llm import bm25, chosen_path, frame_files, hash_tree, license_scan, merkle, packing, rlz, spm, toxicity
 from skyloom.llm.common import load
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,16 +26,47 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def op4_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), k=10)
+
+
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_report(load(spark, sf_dir, "documents"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.link_classes(load(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), WORD_BPE, end_id=0, capacity=2048)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.report(load(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def queries() -> dict:
     return {
         "op1_hash_tree": op1_hash_tree,
         "op2_token_files": op2_token_files,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_bm25_search": op4_bm25_search,
+        "op5_merkle_fingerprints": op5_merkle_fingerprints,
+        "op6_ngram_join": op6_ngram_join,
+        "op7_toxicity": op7_toxicity,
+        "op8_license_scan": op8_license_scan,
         "op9_packing": op9_packing,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 

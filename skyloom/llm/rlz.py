@@ -28,8 +28,8 @@ from skyloom.llm.common import id_key
 from skyloom.llm.words import Words, mix, sliding_min
 
 WINDOW, ANCHOR = 20, 8
-#: Bytes of text in one reference block; the memory of a task is about 20 times this.
-BLOCK_BYTES = 12_000_000
+#: Bytes of text in one reference block; the memory of a task is about 30 times this.
+BLOCK_BYTES = 5_000_000
 SPANS = "doc_id long, text_hash long, start int, windows int, src_doc long, src_start int"
 
 

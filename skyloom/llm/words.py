@@ -15,6 +15,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _U33, _M1, _M2 = np.uint64(33), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
+#: Bytes of text whose words are hashed at once.
+SLICE = 1_000_000
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -72,16 +75,20 @@ class Words:
         self.hash = self._hashes(inside[1:-1])
 
     def _hashes(self, inside: np.ndarray) -> np.ndarray:
-        if not len(self.begin):
-            return np.empty(0, np.uint64)
-        length = self.end - self.begin
-        word = np.repeat(np.arange(len(self.begin)), length)
-        at = np.flatnonzero(inside)
-        # places of word bytes are exactly the spans, in order
-        place = at - self.begin[word]
-        value = BYTE_CODES[self.data[at]] * powers(BASE, int(length.max()) + 1)[place]
-        starts = np.concatenate(([0], np.cumsum(length)[:-1]))
-        return mix(np.add.reduceat(value, starts) ^ (length.astype(np.uint64) * BASE))
+        out = np.empty(len(self.begin), np.uint64)
+        # In slices, since an array of 8 bytes a byte of text is needed several times.
+        at = np.append(np.searchsorted(self.begin, np.arange(0, len(self.data), SLICE)), len(self.begin))
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if a == b:
+                continue
+            begin, length = self.begin[a:b], self.end[a:b] - self.begin[a:b]
+            lo, starts = begin[0], np.cumsum(length) - length
+            # Bytes of words are exactly the spans, in order.
+            places = np.flatnonzero(inside[lo : self.end[b - 1]])
+            inner = np.arange(len(places)) - np.repeat(starts, length)
+            value = BYTE_CODES[self.data[lo : self.end[b - 1]][places]] * powers(BASE, int(length.max()) + 1)[inner]
+            out[a:b] = mix(np.add.reduceat(value, starts) ^ (length.astype(np.uint64) * BASE))
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
