@@ -145,7 +145,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         F.col("doc_id").asc_nulls_first(), "text"
     )
     files = ordered.mapInArrow(write, "file binary")
-    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", END_MARK).text(path)
+    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", END_MARK).option(
+        "maxRecordsPerFile", 1
+    ).text(path)
 
 
 def read_tokens(spark, path: str, doc_ids: list[int] | None = None) -> DataFrame:

@@ -34,6 +34,8 @@ from skyloom.llm.common import materialize
 SAMPLE_ROWS = 12_000
 #: Lengths of stems that are tried as prefixes, and the least number of toxic documents with one.
 STEM_LENGTHS, LEAST_DOCS, LEXICON = (4, 5, 6, 7), 8, 400
+#: Least share of the toxic documents with an entry, so that a few near copies don't make one.
+LEAST_SHARE = 0.02
 #: Least log odds of a lexicon entry.
 LEAST_WEIGHT = 1.5
 
@@ -241,14 +243,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Learn lexicon and weights from at most ``sample_rows`` labelled rows.
 
     Rows for held-out tests (crc32 of the id, as text, divisible by 5) are never used, nor
-    are rows with a null label or id. Of a repeated id, each label counts. Without both
+    are rows with a null label or id. Of equal texts with equal labels, one counts. Without both
     labels in the sample, the model scores every text at the labels' mean, or at 0.
     """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & in_training())
     picked = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
     picked = picked.limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    texts = materialize(texts.select("text", "toxic"), "labelled")
+    texts = materialize(texts.select("text", "toxic").dropDuplicates(), "labelled")
     ns = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, others = ns.get(1, 0), sum(n for k, n in ns.items() if k != 1)
     if not toxic or not others:
@@ -259,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("toxic") != 1, F.col("n")).otherwise(0)).alias("b"),
     )
-    least = max(3, min(LEAST_DOCS, toxic // 6))
+    least = max(3, min(LEAST_DOCS, toxic // 6), math.ceil(LEAST_SHARE * toxic))
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (others + 1))
     telling = counted.where((F.col("a") >= least) & (odds > LEAST_WEIGHT)).orderBy(odds.desc(), "entry", "stem").limit(20 * LEXICON)
     words, stems = lexicon([(r["entry"], r["stem"], r["a"], r["b"]) for r in telling.collect()], toxic, others)
