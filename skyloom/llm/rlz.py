@@ -10,7 +10,7 @@ own; the blocks' indexes meet by key, so each text is matched against every bloc
    Inside a block, only the first of equal windows is kept; the others are answered on
    the spot. So a passage, however common, gives one row a block.
 2. Matching. Rows with the same anchor meet; windows that are equal (anchor hash of 64
-   bits, place, window hash of 48 bits) and not the first are answered with the first.
+   bits, place, window hash of 40 bits) and not the first are answered with the first.
 3. Parsing. The answers of a text, in order, form factors: a factor goes on while
    successive windows match. A window across the boundary of two factors has its own
    answer, so nothing at a boundary is missed.
@@ -28,6 +28,9 @@ from skyloom.llm.common import id_key
 from skyloom.llm.words import Words, mix, sliding_min
 
 WINDOW, ANCHOR = 20, 8
+#: Bytes of a window's hash in the index. It is compared only among windows with the same
+#: anchor hash (64 bits) at the same place, so 40 bits make it 108.
+HASH_BYTES = 5
 #: Bytes of text in one reference block; the memory of a task is about 30 times this.
 BLOCK_BYTES = 5_000_000
 SPANS = "doc_id long, text_hash long, start int, windows int, src_doc long, src_start int"
@@ -76,14 +79,14 @@ def block_index(ids: np.ndarray, hashes: np.ndarray, texts, window: int, anchor:
     keep = np.flatnonzero(source == np.arange(len(by)))
     begin = _runs(at[keep], chosen[keep])
     first, count = keep[begin], np.diff(np.append(begin, len(keep)))
-    win48 = np.ascontiguousarray(h[keep]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    short = np.ascontiguousarray(h[keep]).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
     rows = {
         "key": grams[chosen[first]].view(np.int64),
         "doc_id": ids[text[first]],
         "text_hash": hashes[text[first]],
         "place": (place[first] << 6) | (chosen[first] - at[first]),
-        "ends": np.append(0, np.cumsum(count)) * 6,
-        "windows": win48,
+        "ends": np.append(0, np.cumsum(count)) * HASH_BYTES,
+        "windows": short,
     }
     return answers, rows
 
@@ -201,14 +204,14 @@ def _match():
         payload = payload.take(pa.array(by))
         _, off, data = payload.buffers()
         ends = np.frombuffer(off, np.int32)[payload.offset : payload.offset + len(by) + 1]
-        count = np.diff(ends) // 6
-        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, 6)
+        count = np.diff(ends) // HASH_BYTES
+        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, HASH_BYTES)
         win = np.zeros((len(raw), 8), np.uint8)
-        win[:, :6] = raw
+        win[:, :HASH_BYTES] = raw
         row = np.repeat(np.arange(len(by)), count)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        # Anchor's place in the window (under 16 bits) beside the window's 48 bits.
-        win[:, 6] = offset[row] - inner
+        # The anchor's place in the window beside the window's hash.
+        win[:, HASH_BYTES] = offset[row] - inner
         ident = win.view(np.uint64).ravel()
         k = key[row]
         order = np.lexsort((ident, k))  # stable: equal windows stay in the order of texts and places
