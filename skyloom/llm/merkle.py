@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyloom.llm.common import id_key
+from skyloom.llm.common import id_key, materialize
 
 #: Words in a piece.
 PIECE_WORDS = 4
@@ -68,13 +68,12 @@ def edits(a: Column, b: Column) -> Column:
     return F.filter(numbered, lambda i: i.isNotNull())
 
 
-def with_next(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """Add ``next_<column>``: values of the next row by (doc_id, text), after the last those of the first.
+def neighbour_buckets(docs: DataFrame) -> tuple[Column, DataFrame]:
+    """A bucket expression in doc_id that keeps its order, and (__bucket, __to): the bucket after each one.
 
-    Rows are dealt to buckets of about BUCKET_ROWS neighbours by ranges of doc_id, found
-    from quantiles, so the one shuffle of rows is even and no task sees them all. Only the
-    last row of a bucket, one in BUCKET_ROWS, meets the next bucket's first row in a join.
-    Null ids come first. A single row is its own next.
+    Buckets hold about BUCKET_ROWS neighbours each; their bounds come from quantiles, so
+    they are even however ids are spread. Null ids come first, and the first bucket follows
+    the last one. Both are found from ids alone.
     """
     light = docs.select(id_key().alias("k"))
     share = [i / RANGES for i in range(RANGES + 1)]
@@ -90,14 +89,7 @@ def with_next(docs: DataFrame, columns: list[str], text: str = "text") -> DataFr
     inner = F.greatest(F.least(inner, F.lit(per_range - 1)), F.lit(0))
     bucket = (range_no.cast("long") * 2**32 + inner).alias("__bucket")
 
-    rows = docs.withColumn("__key", key).withColumn("__bucket", bucket)
-    order = Window.partitionBy("__bucket").orderBy("__key", text)
-    ahead = rows.withColumn("__next", F.lead(F.struct(*columns)).over(order)).withColumn("__at", F.row_number().over(order))
-    inside = ahead.where(F.col("__next").isNotNull())
-    last = ahead.where(F.col("__next").isNull()).drop("__next")
-    first = ahead.where(F.col("__at") == 1).select(F.col("__bucket").alias("__to"), F.struct(*columns).alias("__next"))
-
-    # The bucket after each bucket: inside a range by a window, between ranges from their first buckets.
+    # Inside a range the next bucket comes from a window, between ranges from their first buckets.
     seen = light.withColumnRenamed("k", "doc_id").select(bucket, range_no.alias("__range")).distinct()
     heads = seen.groupBy("__range").agg(F.min("__bucket").alias("b")).orderBy("__range").collect()
     after = {r["__range"]: heads[(i + 1) % len(heads)]["b"] for i, r in enumerate(heads)}
@@ -105,35 +97,61 @@ def with_next(docs: DataFrame, columns: list[str], text: str = "text") -> DataFr
     if after:
         jump = F.create_map(*[F.lit(x) for k, b in after.items() for x in (k, b)])
         follow = follow.withColumn("__to", F.coalesce("__to", F.element_at(jump, F.col("__range"))))
-    joined = last.join(follow.select("__bucket", "__to"), "__bucket").join(first, "__to").select(*inside.columns)
-    out = inside.union(joined)
-    return out.select(*docs.columns, *[F.col("__next")[c].alias(f"next_{c}") for c in columns])
-
+    return bucket, follow.select("__bucket", "__to")
 
-def edit_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how alike they are.
 
-    The edited text has its last quarter of code points replaced by as many from the head
-    of the next document. Null texts count as empty, a null doc_id stays null and comes
-    first, rows with one id follow each other in the order of their texts, other columns
-    are left out, and an empty table gives no rows.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(rows.withColumn("fingerprint", fingerprint(F.col("text"))), ["text", "fingerprint"])
+def _compared(rows: DataFrame) -> DataFrame:
+    """The report's columns from text, next_text and both texts' fingerprints."""
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     return (
-        pairs.withColumn("n_chars", n.cast("long"))
+        rows.withColumn("n_chars", n.cast("long"))
         .withColumn("edited", edited)
         .withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-        .select(
-            "doc_id",
-            "n_chars",
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            "fingerprint",
-            "edited_fingerprint",
-            likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-            likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        )
+        .withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+        .withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
+        .withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint")))
+    )
+
+
+REPORT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+def edit_report(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are.
+
+    The edited text has its last quarter of code points replaced by as many from the head
+    of the next document by (doc_id, text); after the last comes the first. Null texts
+    count as empty, a null doc_id stays null and comes first, a single row is its own next,
+    other columns are left out, and an empty table gives no rows.
+
+    Texts are shuffled once, to buckets of neighbours. The last row of a bucket, one in
+    BUCKET_ROWS, needs the first row of the next bucket: the texts of these rows are kept
+    beside the written results and meet in a join of their own.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bucket, follow = neighbour_buckets(rows)
+    dealt = rows.withColumn("__bucket", bucket).repartition("__bucket")
+    order = Window.partitionBy("__bucket").orderBy(id_key(), "text")
+    ahead = (
+        dealt.withColumn("fingerprint", fingerprint(F.col("text")))
+        .withColumn("next_text", F.lead("text").over(order))
+        .withColumn("next_fingerprint", F.lead("fingerprint").over(order))
+        .withColumn("__first", F.row_number().over(order) == 1)
+    )
+    last = F.col("next_text").isNull()
+    made = _compared(ahead.withColumn("__last", last)).select(
+        *REPORT,
+        "__bucket",
+        "__last",
+        "__first",
+        F.when(F.col("__first") | F.col("__last"), F.col("text")).alias("text"),
+    )
+    made = materialize(made, "merkle")
+    ends = made.where("__last").select("doc_id", "text", "fingerprint", "__bucket")
+    heads = made.where("__first").select(
+        F.col("__bucket").alias("__to"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint")
     )
+    joined = ends.join(follow, "__bucket").join(heads, "__to")
+    return made.where("not __last").select(REPORT).union(_compared(joined).select(REPORT))
