@@ -62,8 +62,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 def edits(a: Column, b: Column) -> Column:
     """Numbers (from 0) of the sections of ``a`` whose hash isn't among those of ``b``."""
-    of = lambda fp: F.transform(F.slice(F.split(fp, r"\|"), 2, 2**31 - 1), lambda s: F.substring(s, 1, 10))
-    mine, theirs = of(a), of(b)
+    def sections(fp: Column) -> Column:
+        parts = F.split(fp, r"\|")
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda s: F.substring(s, 1, 10))
+
+    mine, theirs = sections(a), sections(b)
     numbered = F.transform(mine, lambda s, i: F.when(~F.array_contains(theirs, s), i))
     return F.filter(numbered, lambda i: i.isNotNull())
 
