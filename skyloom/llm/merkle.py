@@ -61,7 +61,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the sections of ``a`` whose hash isn't among those of ``b``."""
+    """Numbers (from 0) of the sections of ``a`` whose hash isn't among those of ``b``. Both are stored columns."""
     def sections(fp: Column) -> Column:
         parts = F.split(fp, r"\|")
         return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda s: F.substring(s, 1, 10))
