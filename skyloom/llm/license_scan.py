@@ -6,10 +6,9 @@
    words. A window's set holds its shingles that any template has: a shingle that no
    template has can't be a common min-hash, so leaving it out loses nothing, and windows
    without any are never built.
-3. ``BANDS`` bands of ``ROWS`` min-hashes retrieve pieces. For a piece of which a window
-   has 0.8, with as many shingles of other templates beside it, J is 0.4 at least, and
-   some band meets with 1 - (1 - 0.4^ROWS)^BANDS > 0.999. (At J = 0.67, without others, it is
-   over 1 - 1e-9.)
+3. ``BANDS`` bands of one min-hash retrieve pieces. A window's set has 60 shingles at most, so
+   even a template of a single shingle, beside 59 of others, has J = 1/60 and meets in some
+   band with 1 - (1 - 1/60)^512 > 0.9998; longer templates meet all but surely.
 4. Retrieved templates are verified by exact containment: of a template's different
    shingles, ``CONTAINMENT`` at least stand in the document's retrieved windows.
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import id_key
 
-SHINGLE, STRIDE, BANDS, ROWS, CONTAINMENT = 5, 32, 40, 2, 0.8
+SHINGLE, STRIDE, BANDS, CONTAINMENT = 5, 32, 512, 0.8
 
 # Notices and grant paragraphs of public licenses.
 TEMPLATES = {
@@ -89,12 +88,10 @@ def template_pieces(templates: dict[str, str]) -> list[tuple[str, int, list[str]
 
 
 def bands(known: Column) -> Column:
-    """Hashes of the bands of a set of shingle hashes."""
-    low = F.transform(
-        F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda k: F.array_min(F.transform(known, lambda x: F.xxhash64(x, k)))
-    )
+    """Hashes of the bands of a set of shingle hashes: the least hash under each of BANDS hash functions."""
     return F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(low, b * ROWS + 1, F.lit(ROWS)))
+        F.sequence(F.lit(1), F.lit(BANDS)),
+        lambda b: F.xxhash64(b, F.array_min(F.transform(known, lambda x: F.xxhash64(x, b)))),
     )
 
 
