@@ -18,7 +18,8 @@ def ang2pix_ring(lon: Column, lat: Column, nside: int) -> Column:
     """The ring pixel of a position in degrees; null if a coordinate isn't finite or |lat| > 90."""
     check_nside(nside)
     n = float(nside)
-    z = F.sin(F.radians(lat))
+    # By colatitude, as usual for these pixels: on the equator this decides between two rings.
+    z = F.cos(F.lit(math.pi / 2) - F.radians(lat))
     za = F.abs(z)
     tt = F.pmod(F.radians(lon), F.lit(2 * math.pi)) / (math.pi / 2)
     tt = F.when(tt >= 4.0, 0.0).otherwise(tt)

@@ -137,13 +137,18 @@ def hyperbolic_magnitudes(
         aggs.append(F.percentile(F.when(own & ~F.isnan("b_relative"), F.col("b_relative")), 0.5).alias(f"__b{k}"))
         aggs.append(F.max(F.when(own, F.col("ref_flux"))).alias(f"__r{k}"))
     one = smoothing.agg(*aggs)
-    flux = as_fluxes(df, cols, keep).crossJoin(F.broadcast(one))  # one row
-    out = [F.col(c) for c in keep]
-    for k, (v, e) in enumerate(zip(cols.values, cols.errors, strict=True)):
+    require(df, [*cols.values, *cols.errors])
+    flux = df.crossJoin(F.broadcast(one))  # one row
+    steps, out = {}, [F.col(c) for c in keep]
+    for k, (v, e, zp) in enumerate(zip(cols.values, cols.errors, cols.zeros, strict=True)):
+        value = F.col(v) if cols.is_flux else flux_of(F.col(v), zp)
+        error = F.col(e) if cols.is_flux else flux_error_of(value, F.col(e))
         b, ref = F.col(f"__b{k}"), F.col(f"__r{k}")
-        x, err = F.col(v) / ref, F.col(e) / ref
+        steps |= {f"__x{k}": value / ref, f"__e{k}": error / ref}
+        x, err = F.col(f"__x{k}"), F.col(f"__e{k}")
         out.append((-POGSON * (F.asinh(x / (2.0 * b)) + F.log(b))).alias(v.replace("mag_", "mag_hyp_")))
         out.append((POGSON * err / F.sqrt(x * x + 4.0 * b * b)).alias(e.replace("mag_", "mag_hyp_")))
+    flux = flux.withColumns(steps)
     return flux.select(*out)
 
 

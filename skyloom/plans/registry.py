@@ -165,7 +165,7 @@ def sky_map(spark: SparkSession, value: str) -> DataFrame:
 def pixel_sql(ra: str = "ra", dec: str = "dec", nside: int = NSIDE) -> str:
     """HEALPix ring pixels for the equatorial belt and the caps, in DuckDB."""
     n = float(nside)
-    z = f"sin(radians({dec}))"
+    z = f"cos(pi() / 2 - radians({dec}))"
     tt = f"((radians({ra}) - 2 * pi() * floor(radians({ra}) / (2 * pi()))) / (pi() / 2))"
     jp, jm = f"floor({n} * (0.5 + {tt}) - {n} * {z} * 0.75)", f"floor({n} * (0.5 + {tt}) + {n} * {z} * 0.75)"
     ring = f"({nside} + 1 + {jp} - {jm})"
