@@ -29,7 +29,7 @@ from skyloom.llm.words import Words
 
 K1, B = 1.2, 0.75
 #: Documents and bytes of text in a shard, documents in a bound's block, queries in a block.
-SHARD_DOCS, SHARD_BYTES, BOUND_DOCS, QUERY_DOCS = 32_000, 120_000_000, 64, 4096
+SHARD_DOCS, SHARD_BYTES, BOUND_DOCS, QUERY_DOCS = 16_000, 60_000_000, 64, 4096
 #: Words of all queries of a block: a block's memory on the driver and in a task is bounded by this and one query.
 QUERY_WORDS = 2_000_000
 #: Terms in more than this share of a shard's documents are frequent.
@@ -149,8 +149,8 @@ class Shard:
         starts = np.arange(0, n, BOUND_DOCS)
         self.bound = np.maximum.reduceat(self.dense, starts, axis=0) if n else self.dense
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best k documents that share a term with the query."""
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best k documents that share a term with the query and score at least ``floor``."""
         at = np.searchsorted(self.term, terms)
         at[at == len(self.term)] = 0
         here = self.term[at] == terms if len(self.term) else np.zeros(len(terms), bool)
@@ -176,7 +176,7 @@ class Shard:
             first = np.argpartition(-most, min(4 * k, n - 1))[: 4 * k]
             exact = score[first] + self.dense[np.ix_(first, cols)].astype(np.float64) @ w
             least = np.partition(exact, -k)[-k] if len(exact) >= k else -1.0
-            left = np.flatnonzero(most >= least)
+            left = np.flatnonzero(most >= max(least, floor))
             exact = score[left] + self.dense[np.ix_(left, cols)].astype(np.float64) @ w
             good = exact > 0
             left, exact = left[good], exact[good]
@@ -188,6 +188,8 @@ class Shard:
             keep = exact >= least - 1e-9
             left, exact = left[keep], exact[keep]
         exact = np.round(exact, 6)
+        keep = exact >= floor
+        left, exact = left[keep], exact[keep]
         best = np.lexsort((self.ids[left], -exact))[:k]
         return self.ids[left][best], exact[best]
 
@@ -197,20 +199,26 @@ def _search(queries, mean_length: float, k: int):
         import pyarrow as pa
 
         query_ids, ends, terms, weights = queries.value
+        # The best so far of every query over the task's shards; its k-th score is the next shards' floor.
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(query_ids)
         for batch in batches:
             for blob in batch.column("shard"):
                 shard = Shard(blob.as_py(), mean_length)
-                out: list[list] = [[], [], []]
-                for i, q in enumerate(query_ids):
+                for i, (ids, scores) in enumerate(held):
                     a, b = ends[i], ends[i + 1]
-                    ids, scores = shard.search(terms[a:b], weights[a:b], k)
-                    out[0] += [q] * len(ids)
-                    out[1] += ids.tolist()
-                    out[2] += scores.tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
-                    ["query_id", "doc_id", "score"],
-                )
+                    floor = scores[-1] if len(scores) == k else 0.0
+                    more, found = shard.search(terms[a:b], weights[a:b], k, floor)
+                    if len(more):
+                        ids, scores = np.concatenate((ids, more)), np.concatenate((scores, found))
+                        best = np.lexsort((ids, -scores))[:k]
+                        held[i] = ids[best], scores[best]
+        for a in range(0, len(held), 1024):
+            part = held[a : a + 1024]
+            q = np.repeat(np.array(query_ids[a : a + 1024], np.int64), [len(x) for x, _ in part])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q), pa.array(np.concatenate([x for x, _ in part])), pa.array(np.concatenate([y for _, y in part]))],
+                ["query_id", "doc_id", "score"],
+            )
 
     return run
 
@@ -244,7 +252,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         sent = spark.sparkContext.broadcast(
             (q[at].tolist(), np.append(at, len(q)), own["term"].to_numpy().view(np.uint64), own["idf"].to_numpy())
         )
-        part = index.select("shard").mapInArrow(
+        # Shards of a task are merged there, so a query gives k rows a task; as many tasks as run at once.
+        part = index.select("shard").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(
             _search(sent, words / n if n else 0.0, k), "query_id long, doc_id long, score double"
         )
         part = materialize(part, "found")
