@@ -176,7 +176,7 @@ class Shard:
             first = np.argpartition(-most, min(4 * k, n - 1))[: 4 * k]
             exact = score[first] + self.dense[np.ix_(first, cols)].astype(np.float64) @ w
             least = np.partition(exact, -k)[-k] if len(exact) >= k else -1.0
-            left = np.flatnonzero(most >= max(least, floor))
+            left = np.flatnonzero(most >= max(least - 1e-6, floor - 1e-6))
             exact = score[left] + self.dense[np.ix_(left, cols)].astype(np.float64) @ w
             good = exact > 0
             left, exact = left[good], exact[good]
