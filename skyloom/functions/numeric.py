@@ -22,14 +22,13 @@ def is_finite(c: Column) -> Column:
 
 
 def lt(a: Column, b: Column | float) -> Column:
-    """a < b, false for NaN and null."""
-    b = b if isinstance(b, Column) else F.lit(float(b))
-    return F.coalesce(~F.isnan(a) & ~F.isnan(b) & (a < b), F.lit(False))
+    """a < b, false for NaN. NaN is Spark's largest number, so only b needs a guard; scans can take a plain bound."""
+    return (a < b) & ~F.isnan(b) if isinstance(b, Column) else a < F.lit(float(b))
 
 
 def gt(a: Column, b: Column | float) -> Column:
-    b = b if isinstance(b, Column) else F.lit(float(b))
-    return F.coalesce(~F.isnan(a) & ~F.isnan(b) & (a > b), F.lit(False))
+    """a > b, false for NaN."""
+    return (a > (b if isinstance(b, Column) else F.lit(float(b)))) & ~F.isnan(a)
 
 
 def between(c: Column, lo: float, hi: float) -> Column:

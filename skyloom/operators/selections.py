@@ -260,7 +260,7 @@ def select(df: DataFrame, survey: str, cfg: SpecConfig = SpecConfig()) -> DataFr
     if survey not in SURVEYS:
         raise ValueError(f"no survey {survey}; there are {', '.join(SURVEYS)}")
     out, keep = SURVEYS[survey](df, cfg)
-    keep = usable(df, cfg) & F.coalesce(keep, F.lit(False))
+    keep = usable(df, cfg) & keep
     if cfg.downsample:
         chosen = chosen_ids(out.where(keep), cfg.row_id, cfg.n_tot, cfg.seed, "downsample")
         if out.where(keep).limit(cfg.n_tot).count() < cfg.n_tot:
@@ -270,7 +270,7 @@ def select(df: DataFrame, survey: str, cfg: SpecConfig = SpecConfig()) -> DataFr
         return mark(out, chosen, cfg.row_id, "__kept").select(*df.columns, F.col("__kept").cast("int").alias("flag"))
     if cfg.drop_rows:
         return out.where(keep).select(df.columns)
-    return out.select(*df.columns, keep.cast("int").alias("flag"))
+    return out.select(*df.columns, F.coalesce(keep, F.lit(False)).cast("int").alias("flag"))
 
 
 # --- DESI, physical thresholds ---
@@ -299,7 +299,7 @@ def desi_physical(df: DataFrame, cfg: PhysicalThreshold) -> DataFrame:
         if name not in df.columns:
             raise ValueError(f"column {name} not in the table")
     keep = gt(F.col(cfg.threshold_col), cfg.curve.column(F.col(cfg.redshift_col)))
-    return df.where(keep) if cfg.drop_rows else df.withColumn("flag", keep.cast("int"))
+    return df.where(keep) if cfg.drop_rows else df.withColumn("flag", F.coalesce(keep, F.lit(False)).cast("int"))
 
 
 def bin_left(v: Column, edges: list[float]) -> Column:

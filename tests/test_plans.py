@@ -34,7 +34,7 @@ def test_query_equals_its_oracle(spark, duck, name):
     a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (a, b))
     for c in cols:
         if a[c].dtype.kind == "f":
-            assert ((a[c] - b[c]).abs() < 2e-6).all(), c
+            assert ((a[c] == b[c]) | ((a[c] - b[c]).abs() < 2e-6)).all(), c  # infinities are equal
         else:
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
 
@@ -47,6 +47,7 @@ def test_most_queries_have_oracles():
 def test_filters_and_columns_reach_the_scan(spark):
     df = catalog(spark, SF)
     cfg = selections.SpecConfig(downsample=False, nan_check="used")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 20_000)  # lists aren't cut short
     plan = selections.select(df, "DESI_BGS", cfg).select("row_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "LessThan(mag_r_lsst,19.5)" in plan
     assert "shape_xx" not in plan.split("ReadSchema")[1]
