@@ -44,7 +44,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(load(spark, sf_dir, "documents"))
+    return license_scan.scan(load(spark, sf_dir, "documents")).select("doc_id", "license", "containment", "first_word")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +70,55 @@ def queries() -> dict:
     }
 
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Every window against all windows.
+OP3_SQL = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 19], ' ')) AS h FROM p),
+f AS (SELECT doc_id, s, min(doc_id::HUGEINT * 4294967296 + s) OVER (PARTITION BY h) AS first FROM k),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM f WHERE doc_id::HUGEINT * 4294967296 + s > first),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) FILTER (c.i IS NULL) AS kept, count(c.i) AS gone
+  FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN y ON w.doc_id = y.doc_id
+"""
+
+#: All pairs of different shingle sets with a common shingle.
+OP6_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, h FROM (SELECT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0))),
+g AS (SELECT doc_id, md5(string_agg(h, ',' ORDER BY h)) AS sig, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT doc_id, sig, n, min(doc_id) OVER (PARTITION BY sig) AS rep_id FROM g),
+r AS (SELECT s.* FROM s JOIN m ON s.doc_id = m.doc_id WHERE m.rep_id = m.doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM r a JOIN r b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN m x ON x.doc_id = a JOIN m y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+t AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+k AS (SELECT a, least(a, min(b)) AS class_id FROM t GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT w.doc_id, coalesce(rep_id, w.doc_id) AS rep_id, coalesce(class_id, rep_id, w.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM w LEFT JOIN m ON w.doc_id = m.doc_id LEFT JOIN k ON rep_id = k.a LEFT JOIN n ON rep_id = n.a
+"""
+
+_TEMPLATES = ", ".join(
+    "('" + name + "', [" + ", ".join(f"'{w}'" for w in license_scan.template_words(text)) + "])"
+    for name, text in license_scan.TEMPLATES.items()
+)
+#: Containment of every template in every text.
+OP8_SQL = rf"""
+WITH t AS (SELECT DISTINCT license, array_to_string(ws[i:i + 4], ' ') AS h
+  FROM (SELECT license, ws, unnest(range(1, len(ws) - 3)) AS i FROM (VALUES {_TEMPLATES}) v(license, ws))),
+n AS (SELECT license, count(*) AS n FROM t GROUP BY license),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
+s AS (SELECT doc_id, i - 1 AS place, array_to_string(ws[i:i + 4], ' ') AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+f AS (SELECT doc_id, license, count(DISTINCT h) AS c, min(place) AS first_word FROM s JOIN t USING (h) GROUP BY ALL)
+SELECT doc_id, license, round(c::DOUBLE / n, 6) AS containment, first_word FROM f JOIN n USING (license) WHERE c::DOUBLE / n >= 0.8
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL, "op8_license_scan": OP8_SQL}
