@@ -33,7 +33,7 @@ SHARD_DOCS, SHARD_BYTES, BOUND_DOCS, QUERY_DOCS = 16_000, 60_000_000, 64, 4096
 #: Words of all queries of a block: a block's memory on the driver and in a task is bounded by this and one query.
 QUERY_WORDS = 2_000_000
 #: Terms in more than this share of a shard's documents are frequent.
-FREQUENT = 0.03
+FREQUENT = 0.08
 
 
 def term_counts(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,10 +125,12 @@ class Shard:
 
     def __init__(self, blob: bytes, mean_length: float):
         z = np.load(io.BytesIO(blob))
-        lengths, doc = z["lengths"].astype(np.float64), z["doc"].astype(np.int64)
-        tf = z["tf"].astype(np.float64)
+        lengths, doc, tfs = z["lengths"].astype(np.float64), z["doc"], z["tf"]
         norm = K1 * (1 - B + B * lengths / mean_length) if mean_length else np.full(len(lengths), K1)
-        impact = (tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        impact = np.empty(len(doc), np.float32)
+        for a in range(0, len(doc), 200_000):  # in parts, to keep wide arrays small
+            tf = tfs[a : a + 200_000].astype(np.float64)
+            impact[a : a + 200_000] = tf * (K1 + 1) / (tf + norm[doc[a : a + 200_000]])
         self.term, self.ends, n = z["term"], z["ends"], len(lengths)
         df = np.diff(self.ends)
         heavy = np.flatnonzero(df > max(FREQUENT * n, 64))
@@ -144,7 +146,7 @@ class Shard:
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.ids, self.dense = z["ids"][order], dense[order]
-        self.doc, self.impact = place[doc], impact.astype(np.float64)
+        self.doc, self.impact = place[doc].astype(np.int32), impact
         self.block = np.arange(n) // BOUND_DOCS
         starts = np.arange(0, n, BOUND_DOCS)
         self.bound = np.maximum.reduceat(self.dense, starts, axis=0) if n else self.dense
@@ -165,7 +167,7 @@ class Shard:
         spans = [slice(self.ends[t], self.ends[t + 1]) for t in at[rare]]
         if spans:
             found = np.concatenate([self.doc[s] for s in spans])
-            part = np.concatenate([self.impact[s] * w for s, w in zip(spans, weights[rare], strict=True)])
+            part = np.concatenate([self.impact[s].astype(np.float64) * w for s, w in zip(spans, weights[rare], strict=True)])
             score = np.bincount(found, part, n)
             touched[found] = True
         cols, w = column[heavy], weights[heavy]
