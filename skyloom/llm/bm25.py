@@ -29,7 +29,7 @@ from skyloom.llm.words import Words
 
 K1, B = 1.2, 0.75
 #: Documents and bytes of text in a shard, documents in a bound's block, queries in a block.
-SHARD_DOCS, SHARD_BYTES, BOUND_DOCS, QUERY_DOCS = 16_000, 60_000_000, 64, 4096
+SHARD_DOCS, SHARD_BYTES, BOUND_DOCS, QUERY_DOCS = 8_000, 15_000_000, 64, 4096
 #: Words of all queries of a block: a block's memory on the driver and in a task is bounded by this and one query.
 QUERY_WORDS = 2_000_000
 #: Terms in more than this share of a shard's documents are frequent.
