@@ -1,14 +1,16 @@
 """License scan: templates are retrieved with MinHash bands over overlapping windows.
 
-1. Words are lower-case runs of letters and digits; a shingle is ``SHINGLE`` words.
+1. Words are lower-case runs of letters and digits; a shingle is ``SHINGLE`` words. A shorter
+   template is one shingle of all its words, and texts are hashed at that width too.
 2. Windows of ``2 x STRIDE`` words, ``STRIDE`` apart, cover every text, so any ``STRIDE``
    words in a row lie in one window. Templates are cut into pieces of at most ``STRIDE``
    words. A window's set holds its shingles that any template has: a shingle that no
    template has can't be a common min-hash, so leaving it out loses nothing, and windows
-   without any are never built.
+   without any are never built. Each width of shingles has windows of its own.
 3. ``BANDS`` bands of one min-hash retrieve pieces. A window's set has 60 shingles at most, so
    even a template of a single shingle, beside 59 of others, has J = 1/60 and meets in some
-   band with 1 - (1 - 1/60)^512 > 0.9998; longer templates meet all but surely.
+   band with 1 - (1 - 1/60)^512 > 0.9998; longer templates meet all but surely. A template of
+   w < ``SHINGLE`` words stands beside 64 - w others of its width at most (1/64: > 0.9996).
 4. Retrieved templates are verified by exact containment: of a template's different
    shingles, ``CONTAINMENT`` at least stand in the document's retrieved windows.
 
@@ -69,19 +71,30 @@ TEMPLATES = {
     ),
 }
 
+# Shorter than a shingle. The line grants nothing, but it stands where a license would.
+SHORT_NOTICES = {"All rights reserved (notice)": "All rights reserved."}
+
 
 def template_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def width(words: list[str]) -> int:
+    """Words in a shingle of a template."""
+    return min(SHINGLE, len(words))
+
+
 def template_pieces(templates: dict[str, str]) -> list[tuple[str, int, list[str]]]:
-    """(template, piece, shingles) of pieces of at most STRIDE words that overlap by SHINGLE - 1."""
+    """(template, piece, shingles) of pieces of at most STRIDE words that overlap by SHINGLE - 1.
+
+    A template of fewer words than SHINGLE is one piece of one shingle.
+    """
     out = []
     for name, text in templates.items():
         w = template_words(text)
-        shingles = [" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)]
-        if not shingles:
-            raise ValueError(f"template {name}: fewer than {SHINGLE} words")
+        if not w:
+            raise ValueError(f"template {name}: no words")
+        shingles = [" ".join(w[i : i + width(w)]) for i in range(len(w) - width(w) + 1)]
         step = STRIDE - SHINGLE + 1
         out += [(name, k, shingles[a : a + step]) for k, a in enumerate(range(0, len(shingles), step))]
     return out
@@ -102,9 +115,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     nothing; a null doc_id stays null. Equal rows are one document and match once; rows
     with one id and different texts are scanned each. Other columns are left out, and an
     empty table gives no rows. Word order inside shingles counts, case and punctuation don't.
+    Without ``templates``, TEMPLATES and SHORT_NOTICES are looked for.
     """
     spark = docs.sparkSession
-    made = template_pieces(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES | SHORT_NOTICES if templates is None else templates
+    made = template_pieces(templates)
+    widths = sorted({width(template_words(t)) for t in templates.values()})
     table = spark.createDataFrame(made, "license string, piece int, shingles array<string>")
     hashed = table.select("license", "piece", F.transform("shingles", lambda s: F.xxhash64(s)).alias("shingles"))
     # Small and fixed: the tables of templates have a few hundred rows.
@@ -120,23 +136,32 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     texts = docs.where(F.col("text").isNotNull()).select(
         id_key().alias("doc_id"), F.xxhash64("text").alias("text_hash"), words.alias("w")
     )
-    texts = texts.where(F.size("w") >= SHINGLE)
-    shingles = F.transform(
-        F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(SHINGLE)), " "))
+    texts = texts.where(F.size("w") >= widths[0])
+
+    def shingles(n: int) -> Column:
+        found = F.transform(
+            F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " "))
+        )
+        return found if n == widths[0] else F.when(F.size("w") >= n, found)
+
+    by_width = F.explode(F.array(*(F.struct(F.lit(n).alias("width"), shingles(n).alias("found")) for n in widths))).alias("x")
+    hits = (
+        texts.select("doc_id", "text_hash", by_width)
+        .select("doc_id", "text_hash", F.col("x.width").alias("width"), F.posexplode("x.found").alias("at", "s"))
+        .join(wanted, "s")
     )
-    hits = texts.select("doc_id", "text_hash", F.posexplode(shingles).alias("at", "s")).join(wanted, "s")
     # Window j holds the words from STRIDE x j on; a shingle fits into one or two.
     j = F.floor(F.col("at") / STRIDE).cast("int")
-    fits = F.filter(F.array(j - 1, j), lambda x: (x >= 0) & (F.col("at") + SHINGLE <= (x + 2) * STRIDE))
+    fits = F.filter(F.array(j - 1, j), lambda x: (x >= 0) & (F.col("at") + F.col("width") <= (x + 2) * STRIDE))
     windows = (
-        hits.select("doc_id", "text_hash", F.explode(fits).alias("window"), "s", "at")
-        .groupBy("doc_id", "text_hash", "window")
+        hits.select("doc_id", "text_hash", "width", F.explode(fits).alias("window"), "s", "at")
+        .groupBy("doc_id", "text_hash", "width", "window")
         .agg(F.collect_set("s").alias("known"), F.min("at").alias("at"), F.collect_list(F.struct("at", "s")).alias("places"))
     )
     met = (
         windows.select("*", F.explode(bands(F.col("known"))).alias("band"))
         .join(index, "band")
-        .select("doc_id", "text_hash", "window", "known", "places", "license")
+        .select("doc_id", "text_hash", "width", "window", "known", "places", "license")
         .distinct()
     )
     verified = (

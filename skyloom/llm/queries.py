@@ -44,7 +44,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(load(spark, sf_dir, "documents")).select("doc_id", "license", "containment", "first_word")
+    found = license_scan.scan(load(spark, sf_dir, "documents"), license_scan.TEMPLATES)
+    return found.select("doc_id", "license", "containment", "first_word")
+
+
+def op8_short_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices of fewer words than a shingle, which the oracle of op8_license_scan has no shingles for."""
+    found = license_scan.scan(load(spark, sf_dir, "documents"), license_scan.SHORT_NOTICES)
+    return found.select("doc_id", "license", "containment", "first_word")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +72,7 @@ def queries() -> dict:
         "op6_ngram_join": op6_ngram_join,
         "op7_toxicity": op7_toxicity,
         "op8_license_scan": op8_license_scan,
+        "op8_short_notices": op8_short_notices,
         "op9_packing": op9_packing,
         "op10_sentencepiece": op10_sentencepiece,
     }
@@ -119,6 +127,22 @@ f AS (SELECT doc_id, license, count(DISTINCT h) AS c, min(place) AS first_word F
 SELECT doc_id, license, round(c::DOUBLE / n, 6) AS containment, first_word FROM f JOIN n USING (license) WHERE c::DOUBLE / n >= 0.8
 """
 
+_SHORT = ", ".join(
+    f"('{name}', ' {' '.join(license_scan.template_words(text))} ')" for name, text in license_scan.SHORT_NOTICES.items()
+)
+#: The notice's words in the text's words, in a row.
+OP8_SHORT_SQL = rf"""
+WITH t AS (SELECT * FROM (VALUES {_SHORT}) v(license, whole)),
+w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS line FROM documents),
+f AS (SELECT doc_id, license, len(string_split(left(line, strpos(line, whole)), ' ')) - 2 AS place FROM w, t WHERE contains(line, whole))
+SELECT doc_id, license, 1.0::DOUBLE AS containment, min(place) AS first_word FROM f GROUP BY ALL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL, "op8_license_scan": OP8_SQL}
+    return {
+        "op3_substring_dedup": OP3_SQL,
+        "op6_ngram_join": OP6_SQL,
+        "op8_license_scan": OP8_SQL,
+        "op8_short_notices": OP8_SHORT_SQL,
+    }

@@ -54,3 +54,18 @@ def test_band_chance():
 def test_plan_is_native(spark, docs):
     plan = ls.scan(docs([(1, "a b c d e")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_templates_shorter_than_a_shingle(spark, docs):
+    rows = [(1, "All rights reserved."), (2, " ".join(["x"] * 63) + "\nALL RIGHTS, reserved"), (3, "all rights are reserved"), (4, "rights")]
+    rows += [(5, "Released under the MIT License. All rights reserved."), (6, None), (7, "reserved rights all")]
+    got = {(x.doc_id, x.license, x.containment, x.first_word) for x in ls.scan(docs(rows)).collect()}
+    short = "All rights reserved (notice)"
+    assert got == {(1, short, 1.0, 0), (2, short, 1.0, 63), (5, short, 1.0, 5), (5, "MIT (notice)", 1.0, 0)}
+    own = {"one": "Rights", "two": "all RIGHTS", "four": "all rights are reserved"}
+    got = {(x.doc_id, x.license, x.first_word) for x in ls.scan(docs(rows), own).collect()}
+    assert got == {
+        *((i, "one", at) for i, at in ((1, 1), (2, 64), (3, 1), (4, 0), (5, 6), (7, 1))),
+        *((i, "two", at) for i, at in ((1, 0), (2, 63), (3, 0), (5, 5))),
+        (3, "four", 0),
+    }
