@@ -7,9 +7,10 @@ Five transducers read the words of a clause and write weighted tags:
 * threat, target, negation and reported speech: closed-class words of four languages.
 
 They are composed into a clause grammar: ``[reported] [target] [negation] (insult |
-threat)+ [target]``. The automaton runs over the clause's tags and gives the clause a
-weight: its insults' and threats' weights in sum, tagged by whether a target stands in the
-clause and whether negation or reported speech governs the match. A document's features
+threat)+ [target]``. A threat counts only in a clause with a target, where it makes a match
+without any insult too. The automaton runs over the clause's tags and gives the clause a
+weight: its insults' weights in sum, beside the number of its threats, tagged by whether a target
+stands in the clause and whether negation or reported speech governs the match. A document's features
 are sums over its matched clauses, never over words outside a match, and a logistic model
 turns them into a score.
 
@@ -94,9 +95,10 @@ class Grammar:
         self.trie = Trie.of(words, stems)
         stem = "|".join(sorted(map(re.escape, stems), key=len, reverse=True))
         word = "|".join(sorted(map(re.escape, words), key=len, reverse=True))
-        parts = [x for x in (f"(?:{stem})[^\\W\\d_]*" if stem else "", f"(?:{word})" if word else "") if x]
-        # A first pass finds where any insult stands; only clauses there are parsed.
-        self.first = re.compile(r"(?<![^\W\d_])(?:" + "|".join(parts) + r")(?![^\W\d_])") if parts else None
+        threat = "|".join(sorted(map(re.escape, THREATS), key=len, reverse=True))
+        parts = [x for x in (f"(?:{stem})[^\\W\\d_]*" if stem else "", f"(?:{word})" if word else "", f"(?:{threat})") if x]
+        # A first pass finds where any insult or threat stands; only clauses there are parsed.
+        self.first = re.compile(r"(?<![^\W\d_])(?:" + "|".join(parts) + r")(?![^\W\d_])")
 
     def clause(self, words: list[str]) -> tuple[float, int, int, int, int, int]:
         """Run the clause automaton: weight, insults, aimed, negated, reported, threats."""
@@ -120,13 +122,14 @@ class Grammar:
 
     def features(self, text: str | None) -> np.ndarray:
         out = np.zeros(len(FEATURES))
-        if not text or self.first is None:
+        if not text:
             return out
         low = text.lower()
         found = [m.span() for m in self.first.finditer(low)]
         if not found:
             return out
         sums = np.zeros(6)
+        kinds = {w for a, b in found if self.trie.weight(w := low[a:b])}
         clauses, at = 0, 0
         for a, _ in found:
             if a < at:
@@ -135,10 +138,12 @@ class Grammar:
             begin = max(ends[-1] if ends else max(0, a - 400), at)
             stop = CLAUSE.search(low, a)
             at = stop.start() if stop else len(low)
-            sums += self.clause(WORD.findall(low, begin, at))
-            clauses += 1
+            words = WORD.findall(low, begin, at)
+            own = self.clause(words)
+            sums += own
+            # A threat without a target matches nothing.
+            clauses += own[5] > 0 or not kinds.isdisjoint(words)
         weight, insults, aimed, negated, reported, threats = sums
-        kinds = len({low[a:b] for a, b in found})
         length = max(len(low) / 6.0, 1.0)
         out[:] = (
             math.log1p(insults),
@@ -150,7 +155,7 @@ class Grammar:
             math.log1p(negated),
             math.log1p(reported),
             math.log1p(threats),
-            math.log1p(kinds),
+            math.log1p(len(kinds)),
         )
         return out
 

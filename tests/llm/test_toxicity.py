@@ -73,3 +73,15 @@ def test_no_labels(spark, docs):
     assert tx.scores(docs([]), none).count() == 0
     nulls = spark.createDataFrame([(None, 1), (1, None)], LABELS)
     assert tx.scores(docs([(1, "a")]), nulls).count() == 1
+
+
+def test_a_threat_at_a_target_is_a_match_without_an_insult(spark, docs):
+    for g in (tx.Grammar({}, {}), tx.Grammar({"scum": 2.0}, {"zork": 3.0})):
+        f = dict(zip(tx.FEATURES, g.features("Nothing here. I will kill you! They burn wood."), strict=True))
+        assert f["threats"] == np.log1p(2) and f["clauses"] == np.log1p(2) and f["insults"] == f["variety"] == 0
+        assert not g.features("Killing time. To burn wood.").any()  # another word; no target
+    f = dict(zip(tx.FEATURES, g.features("to burn wood, scum"), strict=True))
+    assert f["clauses"] == f["variety"] == np.log1p(1) and f["threats"] == 0
+    model = tx.Model({}, {}, [float(x == "threats") * 9 for x in tx.FEATURES], -3.0)
+    got = {r.doc_id: r.score for r in tx.with_score(docs([(1, "I will kill you"), (2, ""), (3, "I will greet you")]), model).collect()}
+    assert got[1] > 0.9 and got[2] == got[3] < 0.1
