@@ -134,8 +134,9 @@ class Grammar:
         for a, _ in found:
             if a < at:
                 continue  # in a clause that is parsed already
-            ends = [m.end() for m in CLAUSE.finditer(low, max(0, a - 400), a)]
-            begin = max(ends[-1] if ends else max(0, a - 400), at)
+            begin = at
+            for m in CLAUSE.finditer(low, at, a):
+                begin = m.end()
             stop = CLAUSE.search(low, a)
             at = stop.start() if stop else len(low)
             words = WORD.findall(low, begin, at)

@@ -85,3 +85,15 @@ def test_a_threat_at_a_target_is_a_match_without_an_insult(spark, docs):
     model = tx.Model({}, {}, [float(x == "threats") * 9 for x in tx.FEATURES], -3.0)
     got = {r.doc_id: r.score for r in tx.with_score(docs([(1, "I will kill you"), (2, ""), (3, "I will greet you")]), model).collect()}
     assert got[1] > 0.9 and got[2] == got[3] < 0.1
+
+
+def test_long_clauses_are_read_from_their_start():
+    g = tx.Grammar({"scum": 2.0}, {})
+    far = " ".join(["word"] * 2000)
+    for text in (f"You {far} scum", f"Other. You {far} scum", f"Scum! You {far} scum and scum; end"):
+        f = dict(zip(tx.FEATURES, g.features(text), strict=True))
+        assert f["aimed"] == np.log1p(text.count(" scum"))
+    f = dict(zip(tx.FEATURES, g.features(f"You kill {far} scum"), strict=True))
+    assert f["threats"] == np.log1p(1) and f["aimed"] == np.log1p(1)
+    f = dict(zip(tx.FEATURES, g.features(f"You. {far} scum"), strict=True))
+    assert f["aimed"] == 0  # the target stands in another clause
