@@ -297,8 +297,10 @@ def report(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, parity, decoded_sha256 and round_trip of every document.
 
     Null texts count as empty and have no ids. A null doc_id stays null, repeated rows are
-    encoded each, other columns are left out, and an empty table gives no rows. The ids
-    are decoded again; ``round_trip`` tells whether that gives the text.
+    encoded each, other columns are left out, and an empty table gives no rows. ``parity``
+    tells whether none of the document's words differed between the libraries when each was
+    encoded alone. The decoded text is put together from its words, each decoded alone;
+    ``round_trip`` tells whether that gives the text. Neither compares the whole document.
     """
 
     def run(batches):
