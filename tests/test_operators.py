@@ -15,7 +15,9 @@ MAGS = [f"mag_{b}_lsst" for b in "ugrizy"]
 
 @pytest.fixture(scope="module")
 def cat(spark):
-    return catalog(spark, SF).persist()
+    held = catalog(spark, SF).persist()
+    yield held
+    held.unpersist(blocking=True)  # else other modules' plans read the cache in place of the files
 
 
 def cfg(**more):
