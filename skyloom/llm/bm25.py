@@ -1,26 +1,36 @@
-"""Exact top-k search with BM25 over an inverted index in shards.
-
-1. Index. Each block of documents becomes a shard: postings by term, with the part of
-   BM25 that depends on the document alone. The corpus statistics (number of documents,
-   mean length, document frequency of the queries' terms) are global and exact, and the
-   idf goes into the queries' weights, so scores of all shards can be compared.
-2. Search. A stated block of queries meets every shard. Terms are split as in WAND: rare
-   ones are summed over their postings; for frequent ones, stored as columns, the maxima
-   over blocks of documents bound what they can add. Documents whose rare part and bound
-   together can't reach the k-th best score so far are never scored in full.
-3. Merge. The shards' best k of each query are merged; a document is in one shard only,
+"""Exact top-k search with BM25: block-max WAND over an inverted index in shards.
+
+1. Index. Each block of documents becomes a shard: posting lists by term (gaps of document
+   numbers, frequencies). Document numbers inside a shard are dealt so that alike documents
+   are neighbours. Number of documents, mean length and the document frequency of the
+   queries' terms are global and exact, so scores of all shards can be compared.
+2. Search. Posting lists are cut into blocks at multiples of ``RANGE`` document numbers, and
+   each block of each list has its greatest impact (block-max with blocks aligned by
+   document). The cursors of a query's lists move from range to range: the sum of the block
+   maxima of the lists that have a posting in the range is compared with the query's
+   threshold, its k-th best score so far. A range that can't reach it is skipped, no posting
+   of it is scored, and the next range that can is the pivot. There all its documents are
+   scored exactly. Queries move in batches, each with cursors and a threshold of its own.
+3. Thresholds. Each query starts at its most promising range. They pass on from shard to shard
+   of a task. Every ``SEED``-th shard is searched first, and the thresholds found there hold
+   for all others, so that a shard returns only what can still be among the best.
+4. Merge. The shards' best k of each query are merged; a document is in one shard only,
    so the merge is exact.
 
-A document's words are those of :mod:`skyloom.llm.words`. A query counts each of its
-different words once. Ties go to the lesser doc_id.
+Frequent lists (with postings in more than ``FREQUENT`` of a shard's documents) are held as
+columns of a matrix, others as lists; both have block maxima and are scored the same way.
+All scores are float64 and rounded to six digits. A document's words are those of
+:mod:`skyloom.llm.words`, known by 64-bit hashes. A query counts each of its different words
+once. Ties go to the lesser doc_id.
 """
 
 from __future__ import annotations
 
 import io
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,76 +38,110 @@ from skyloom.llm.common import NULL_ID, id_key, materialize
 from skyloom.llm.words import Words
 
 K1, B = 1.2, 0.75
-#: Documents and bytes of text in a shard, documents in a bound's block, queries in a block.
-SHARD_DOCS, SHARD_BYTES, BOUND_DOCS, QUERY_DOCS = 8_000, 15_000_000, 64, 4096
-#: Words of all queries of a block: a block's memory on the driver and in a task is bounded by this and one query.
+#: Documents and bytes of text in a shard, and documents in a range.
+SHARD_DOCS, SHARD_BYTES, RANGE = 4096, 10_000_000, 64
+#: One shard of so many is searched first, for thresholds.
+SEED = 8
+#: Different words of all queries of a block: its memory on the driver and in a task is bounded by this and one query.
 QUERY_WORDS = 2_000_000
+#: Queries, and their words, that move together; queries whose bounds are summed at once.
+BATCH, BATCH_WORDS, AT_ONCE = 1024, 400_000, 128
 #: Terms in more than this share of a shard's documents are frequent.
-FREQUENT = 0.08
+FREQUENT = 0.05
+#: Scores are rounded to so many digits; a bound below a threshold by more than this can't reach it.
+DIGITS, MARGIN = 6, 1e-6
 
 
 def term_counts(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, frequency) of all different words, by document, and the documents' lengths."""
     w = Words(texts)
-    doc = np.repeat(np.arange(len(w.first) - 1), w.counts())
-    by = np.lexsort((w.hash, doc))
-    d, t = doc[by], w.hash[by]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
-    at = np.flatnonzero(new)
-    return d[at], t[at], np.diff(np.append(at, len(d))), w.counts()
+    term, number = np.unique(w.hash, return_inverse=True)
+    key = np.repeat(np.arange(len(w.first) - 1), w.counts()) * max(len(term), 1) + number
+    key, tf = np.unique(key, return_counts=True)
+    return key // max(len(term), 1), term[key % max(len(term), 1)], tf, w.counts()
+
+
+def _alike(doc: np.ndarray, number: np.ndarray, terms: int, lengths: np.ndarray) -> np.ndarray:
+    """An order of a shard's documents in which alike ones are neighbours.
+
+    They are grouped by the frequent word that is most often theirs, as a share of the shard's
+    own (so languages and topics stay together), then ordered by length.
+    """
+    n = len(lengths)
+    count = np.bincount(number, minlength=terms)
+    top = np.argsort(-count, kind="stable")[:256]
+    column = np.full(terms, -1, np.int64)
+    column[top] = np.arange(len(top))
+    c = column[number]
+    held = c >= 0
+    seen = np.bincount(doc[held] * 256 + c[held], minlength=n * 256).reshape(n, 256)
+    seen = seen / np.maximum(lengths, 1)[:, None]
+    mean = seen.mean(axis=0) if n else np.ones(256)
+    return np.lexsort((lengths, (seen / (mean + 1e-4)).argmax(axis=1)))
+
+
+def _shard(held: list):
+    """A shard of the documents in ``held``: postings sorted by term and document, and every term's number of documents."""
+    import pyarrow as pa
+
+    words, length = [], []
+    for part in held:
+        w = Words(part.column("text"))
+        words.append(w.hash)
+        length.append(w.counts())
+    length = np.concatenate(length)
+    base = len(length)
+    doc = np.repeat(np.arange(base), length)
+    term, number = np.unique(np.concatenate(words), return_inverse=True)
+    order = _alike(doc, number, len(term), length)
+    place = np.empty(base, np.int64)
+    place[order] = np.arange(base)
+    key, tf = np.unique(number * base + place[doc], return_counts=True)
+    number, doc = key // base, key % base
+    df = np.bincount(number, minlength=len(term))
+    starts = np.cumsum(df) - df
+    gap = np.diff(doc, prepend=0)
+    gap[starts] = doc[starts]
+    blob = io.BytesIO()
+    np.savez(
+        blob,
+        ids=np.concatenate([part.column("doc_id").to_numpy() for part in held])[order],
+        lengths=length[order].astype(np.int64),
+        gap=gap.astype(np.uint32 if base > 65535 else np.uint16),
+        tf=tf.astype(np.uint16 if not len(tf) or tf.max() < 65536 else np.uint32),
+        term=term,
+        df=df.astype(np.int32),
+    )
+    return {
+        "shard": pa.array([blob.getvalue()], pa.binary()),
+        "docs": pa.array([base], pa.int64()),
+        "words": pa.array([int(length.sum())], pa.int64()),
+        "terms": pa.array([term.view(np.int64)], pa.list_(pa.int64())),
+        "dfs": pa.array([df], pa.list_(pa.int64())),
+    }
 
 
 def _build(batches):
-    """Shards: postings sorted by term and document, and every term's number of documents."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
+    task = TaskContext.get()
     held: list = []
     size = rows = 0
+    number = task.partitionId() if task else 0
 
     def shard():
-        ids, lengths, docs, terms, tfs, base = [], [], [], [], [], 0
-        for part in held:
-            d, t, f, n = term_counts(part.column("text"))
-            docs.append(d + base)
-            terms.append(t)
-            tfs.append(f)
-            lengths.append(n)
-            ids.append(part.column("doc_id").to_numpy())
-            base += part.num_rows
-        doc, term, tf = np.concatenate(docs), np.concatenate(terms), np.concatenate(tfs)
-        by = np.argsort(term, kind="stable")
-        doc, term, tf = doc[by], term[by], tf[by]
-        at = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
-        blob = io.BytesIO()
-        np.savez(
-            blob,
-            ids=np.concatenate(ids),
-            lengths=np.concatenate(lengths).astype(np.int32),
-            doc=doc.astype(np.uint32 if base > 65535 else np.uint16),
-            tf=np.minimum(tf, 2**32 - 1).astype(np.uint16 if not len(tf) or tf.max() < 65536 else np.uint32),
-            term=term[at],
-            ends=np.append(at, len(term)),
-        )
-        return pa.RecordBatch.from_pydict(
-            {
-                "shard": pa.array([blob.getvalue()], pa.binary()),
-                "docs": pa.array([base], pa.int64()),
-                "words": pa.array([int(sum(x.sum() for x in lengths))], pa.int64()),
-                "terms": pa.array([term[at].view(np.int64)], pa.list_(pa.int64())),
-                "dfs": pa.array([np.diff(np.append(at, len(term)))], pa.list_(pa.int64())),
-            }
-        )
+        return pa.RecordBatch.from_pydict({"seed": pa.array([number % SEED == 0])} | _shard(held))
 
     for batch in batches:
-        for a in range(0, batch.num_rows, 1024):
-            part = batch.slice(a, 1024)
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
             held.append(part)
             rows += part.num_rows
             size += part.nbytes
             if rows >= SHARD_DOCS or size >= SHARD_BYTES:
                 yield shard()
-                held, size, rows = [], 0, 0
+                held, size, rows, number = [], 0, 0, number + 1
     if rows:
         yield shard()
 
@@ -105,166 +149,265 @@ def _build(batches):
 def build_index(docs: DataFrame) -> DataFrame:
     """One row a shard; written to the shared folder, since every block of queries reads it."""
     rows = docs.select(id_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(
-        rows.mapInArrow(_build, "shard binary, docs long, words long, terms array<long>, dfs array<long>"), "index"
-    )
+    schema = "seed boolean, shard binary, docs long, words long, terms array<long>, dfs array<long>"
+    return materialize(rows.mapInArrow(_build, schema), "index")
 
 
 def _query_terms(batches):
     import pyarrow as pa
 
     for batch in batches:
-        d, t, _, _ = term_counts(batch.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("query_id").take(pa.array(d)), pa.array(t.view(np.int64))], ["query_id", "term"]
-        )
+        for a in range(0, batch.num_rows, 1024):
+            part = batch.slice(a, 1024)
+            d, t, _, _ = term_counts(part.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("query_id").take(pa.array(d)), pa.array(t.view(np.int64))], ["query_id", "term"]
+            )
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers start[i] .. start[i] + count[i] - 1 of all i in a row, and the i of each."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(owner)) + np.repeat(start - np.cumsum(count) + count, count), owner
 
 
 class Shard:
-    """A shard in memory, with the bounds of its frequent terms."""
+    """A shard in memory: its lists, in blocks by range, with the blocks' greatest impacts."""
 
     def __init__(self, blob: bytes, mean_length: float):
         z = np.load(io.BytesIO(blob))
-        lengths, doc, tfs = z["lengths"].astype(np.float64), z["doc"], z["tf"]
-        norm = K1 * (1 - B + B * lengths / mean_length) if mean_length else np.full(len(lengths), K1)
-        impact = np.empty(len(doc), np.float32)
-        for a in range(0, len(doc), 200_000):  # in parts, to keep wide arrays small
-            tf = tfs[a : a + 200_000].astype(np.float64)
-            impact[a : a + 200_000] = tf * (K1 + 1) / (tf + norm[doc[a : a + 200_000]])
-        self.term, self.ends, n = z["term"], z["ends"], len(lengths)
-        df = np.diff(self.ends)
-        heavy = np.flatnonzero(df > max(FREQUENT * n, 64))
-        self.column = np.full(len(self.term), -1, np.int64)
+        self.ids, self.term, df, tf = z["ids"], z["term"], z["df"].astype(np.int64), z["tf"]
+        lengths, n = z["lengths"].astype(np.float64), len(z["ids"])
+        ends = np.concatenate(([0], np.cumsum(df)))
+        run = np.cumsum(z["gap"], dtype=np.int64)
+        doc = run - np.repeat(run[ends[:-1]] - z["gap"][ends[:-1]], df) if len(df) else run
+        norm = K1 * (1 - B + B * lengths / mean_length) if mean_length else np.full(n, K1)
+        tf = tf.astype(np.float64)
+        impact = tf * (K1 + 1) / (tf + norm[doc])
+        del run, tf
+        self.ranges = -(-n // RANGE)
+        #: Column of a frequent term, -1 for others.
+        self.column = np.full(len(df), -1, np.int64)
+        heavy = np.flatnonzero(df > max(FREQUENT * n, RANGE / 2))
         self.column[heavy] = np.arange(len(heavy))
-        dense = np.zeros((n, len(heavy)), np.float32)
-        for c, t in enumerate(heavy):
-            a, b = self.ends[t], self.ends[t + 1]
-            dense[doc[a:b], c] = impact[a:b]
-        # Documents with alike frequent terms share a block, so that its maxima are close to its members.
-        top = dense.argmax(axis=1) if len(heavy) else np.zeros(n, np.int64)
-        order = np.lexsort((lengths, top))
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        self.ids, self.dense = z["ids"][order], dense[order]
-        self.doc, self.impact = place[doc].astype(np.int32), impact
-        self.block = np.arange(n) // BOUND_DOCS
-        starts = np.arange(0, n, BOUND_DOCS)
-        self.bound = np.maximum.reduceat(self.dense, starts, axis=0) if n else self.dense
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best k documents that share a term with the query and score at least ``floor``."""
+        number = np.repeat(np.arange(len(df)), df)
+        own = self.column[number]
+        self.dense = np.zeros((n, len(heavy)))
+        self.dense[doc[own >= 0], own[own >= 0]] = impact[own >= 0]
+        self.most = np.maximum.reduceat(self.dense, np.arange(0, n, RANGE), axis=0) if n else self.dense
+        # Blocks of the other lists, by term.
+        left = own < 0
+        doc, number, impact = doc[left], number[left], impact[left]
+        at = doc // RANGE
+        cut = np.ones(len(doc), bool)
+        cut[1:] = (at[1:] != at[:-1]) | (number[1:] != number[:-1])
+        starts = np.flatnonzero(cut)
+        self.block_range = at[starts]
+        self.block_most = np.maximum.reduceat(impact, starts) if len(starts) else impact
+        self.blocks = np.searchsorted(number[starts], np.arange(len(df) + 1))
+        # Their postings, by range.
+        by = np.argsort(at, kind="stable")
+        self.doc, self.number, self.impact = (doc[by] % RANGE).astype(np.int64), number[by], impact[by]
+        self.range_at = np.searchsorted(at[by], np.arange(self.ranges + 1))
+        #: Documents that were scored, of all queries (for tests and figures).
+        self.scored = 0
+
+    def search(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, best: Best, first: int) -> None:
+        """Move a batch of queries through the shard and put what they find into ``best``.
+
+        ``owner`` numbers the batch's queries from 0, which are ``first`` .. in ``best``.
+        """
         at = np.searchsorted(self.term, terms)
         at[at == len(self.term)] = 0
         here = self.term[at] == terms if len(self.term) else np.zeros(len(terms), bool)
-        at, weights = at[here], weights[here]
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0)
-        n = len(self.ids)
+        if not here.any():
+            return
+        owner, at, weights = owner[here], at[here], weights[here]
+        n = int(owner.max()) + 1
         column = self.column[at]
-        rare, heavy = column < 0, column >= 0
-        score = np.zeros(n)
-        touched = np.zeros(n, bool)
-        spans = [slice(self.ends[t], self.ends[t + 1]) for t in at[rare]]
-        if spans:
-            found = np.concatenate([self.doc[s] for s in spans])
-            part = np.concatenate([self.impact[s].astype(np.float64) * w for s, w in zip(spans, weights[rare], strict=True)])
-            score = np.bincount(found, part, n)
-            touched[found] = True
-        cols, w = column[heavy], weights[heavy]
-        if len(cols):
-            bound = (self.bound[:, cols] @ w.astype(np.float32)).astype(np.float64) * (1 + 1e-5) + 1e-6
-            most = score + bound[self.block]
-            # The k documents with the highest bounds give a first threshold.
-            first = np.argpartition(-most, min(4 * k, n - 1))[: 4 * k]
-            exact = score[first] + self.dense[np.ix_(first, cols)].astype(np.float64) @ w
-            least = np.partition(exact, -k)[-k] if len(exact) >= k else -1.0
-            left = np.flatnonzero(most >= max(least - 1e-6, floor - 1e-6))
-            exact = score[left] + self.dense[np.ix_(left, cols)].astype(np.float64) @ w
-            good = exact > 0
-            left, exact = left[good], exact[good]
+        heavy = column >= 0
+        self.matrix = np.zeros((n, self.dense.shape[1]))
+        self.matrix[owner[heavy], column[heavy]] = weights[heavy]
+        # The sum of block maxima of every query in every range.
+        bound = self.matrix @ self.most.T
+        rare = np.flatnonzero(~heavy)
+        cut = np.searchsorted(owner[rare], np.arange(0, n + AT_ONCE, AT_ONCE))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            some = rare[a:b]
+            place, entry = _spread(self.blocks[at[some]], self.blocks[at[some] + 1] - self.blocks[at[some]])
+            lowest = int(owner[some[0]]) if len(some) else 0
+            key = (owner[some] - lowest)[entry] * self.ranges + self.block_range[place]
+            add = np.bincount(key, weights[some][entry] * self.block_most[place])
+            bound.reshape(-1)[lowest * self.ranges : lowest * self.ranges + len(add)] += add
+        by = rare[np.argsort(at[rare], kind="stable")]
+        self.own, self.weight = owner[by], weights[by]
+        self.asked = np.concatenate(([0], np.cumsum(np.bincount(at[by], minlength=len(self.term)))))
+        bound[bound == 0] = -np.inf
+        bound += MARGIN
+        start = bound.argmax(axis=1)
+        start[bound.max(axis=1) < best.floor[first : first + n]] = -1
+        for r in np.unique(start[start >= 0]):
+            self._score(int(r), np.flatnonzero(start == r), best, first)
+        for r in range(self.ranges):
+            pivots = np.flatnonzero((bound[:, r] >= best.floor[first : first + n]) & (start != r))
+            if len(pivots):
+                self._score(r, pivots, best, first)
+
+    def _score(self, r: int, queries: np.ndarray, best: Best, first: int) -> None:
+        """Exact scores of a range's documents for some queries of the batch."""
+        lo, hi = r * RANGE, min((r + 1) * RANGE, len(self.ids))
+        n = len(self.matrix)
+        if 2 * len(queries) > n:  # a copy of most of the matrix takes longer than the product with all
+            score = (self.matrix @ self.dense[lo:hi].T)[queries]
         else:
-            left = np.flatnonzero(touched)
-            exact = score[left]
-        if len(left) > k:
-            least = np.partition(exact, -k)[-k]
-            keep = exact >= least - 1e-9
-            left, exact = left[keep], exact[keep]
-        exact = np.round(exact, 6)
-        keep = exact >= floor
-        left, exact = left[keep], exact[keep]
-        best = np.lexsort((self.ids[left], -exact))[:k]
-        return self.ids[left][best], exact[best]
+            score = self.matrix[queries] @ self.dense[lo:hi].T
+        a, b = self.range_at[r], self.range_at[r + 1]
+        number = self.number[a:b]
+        count = self.asked[number + 1] - self.asked[number]
+        wanted = np.flatnonzero(count)
+        if len(wanted):
+            entry, posting = _spread(self.asked[number[wanted]], count[wanted])
+            line = np.full(n, -1, np.int64)
+            line[queries] = np.arange(len(queries))
+            line = line[self.own[entry]]
+            kept = line >= 0
+            entry, posting, line = entry[kept], a + wanted[posting[kept]], line[kept]
+            key = line * (hi - lo) + self.doc[posting]
+            score += np.bincount(key, self.weight[entry] * self.impact[posting], score.size).reshape(score.shape)
+        self.scored += score.size
+        score = np.round(score, DIGITS)
+        q, d = np.nonzero((score >= best.floor[first + queries][:, None]) & (score > 0))
+        if len(q):
+            best.put(first + queries[q], self.ids[lo + d], score[q, d])
+
+
+class Best:
+    """The best k documents of every query so far, and the score that further ones must reach."""
+
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
+        self.k = k
+        self.score = np.full((n, k), -np.inf)
+        self.doc = np.zeros((n, k), np.int64)
+        self.floor = np.full(n, -np.inf) if floor is None else floor.copy()
+
+    def put(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        these = np.unique(query)
+        q = np.concatenate((query, np.repeat(these, self.k)))
+        d = np.concatenate((doc, self.doc[these].ravel()))
+        s = np.concatenate((score, self.score[these].ravel()))
+        by = np.lexsort((d, -s, q))
+        q, d, s = q[by], d[by], s[by]
+        first = np.searchsorted(q, these)
+        at = (first[:, None] + np.arange(self.k)).ravel()
+        self.doc[these], self.score[these] = d[at].reshape(-1, self.k), s[at].reshape(-1, self.k)
+        self.floor[these] = np.maximum(self.floor[these], self.score[these, -1])
+
+
+def _batches(ends: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of queries that move together."""
+    out, a = [], 0
+    while a < len(ends) - 1:
+        b = min(a + BATCH, len(ends) - 1)
+        b = max(a + 1, min(b, int(np.searchsorted(ends, ends[a] + BATCH_WORDS, side="right")) - 1))
+        out.append((a, b))
+        a = b
+    return out
 
 
 def _search(queries, mean_length: float, k: int):
     def run(batches):
         import pyarrow as pa
 
-        query_ids, ends, terms, weights = queries.value
-        # The best so far of every query over the task's shards; its k-th score is the next shards' floor.
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(query_ids)
+        query_ids, ends, terms, weights, floor = queries.value
+        best = Best(len(query_ids), k, floor)
         for batch in batches:
             for blob in batch.column("shard"):
                 shard = Shard(blob.as_py(), mean_length)
-                for i, (ids, scores) in enumerate(held):
-                    a, b = ends[i], ends[i + 1]
-                    floor = scores[-1] if len(scores) == k else 0.0
-                    more, found = shard.search(terms[a:b], weights[a:b], k, floor)
-                    if len(more):
-                        ids, scores = np.concatenate((ids, more)), np.concatenate((scores, found))
-                        best = np.lexsort((ids, -scores))[:k]
-                        held[i] = ids[best], scores[best]
-        for a in range(0, len(held), 1024):
-            part = held[a : a + 1024]
-            q = np.repeat(np.array(query_ids[a : a + 1024], np.int64), [len(x) for x, _ in part])
+                for a, b in _batches(ends):
+                    own = slice(ends[a], ends[b])
+                    owner = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+                    shard.search(owner, terms[own], weights[own], best, a)
+        for a in range(0, len(query_ids), 1024):
+            q, d = np.nonzero(best.score[a : a + 1024] > 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q), pa.array(np.concatenate([x for x, _ in part])), pa.array(np.concatenate([y for _, y in part]))],
+                [pa.array(query_ids[a + q]), pa.array(best.doc[a + q, d]), pa.array(best.score[a + q, d])],
                 ["query_id", "doc_id", "score"],
             )
 
     return run
 
 
+@contextmanager
+def _one_a_batch(spark: SparkSession):
+    """Rows go to Python one by one: a row is a shard, and several would be held at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), doc_id and score: the k best documents of every query.
 
     ``queries`` has query_id and text. Null texts have no words, so they match nothing;
-    a null doc_id stays null and comes first among ties. Documents are rows: repeated rows are
-    found each, in the order of their ids. Documents that share no word with a query are
-    left out, so a query can have fewer than k rows, or none. Empty tables give no rows.
+    a null doc_id stays null and comes first among ties; queries with a null id are left out.
+    Rows of ``queries`` with one id are one query of all their words. Documents are rows:
+    repeated rows are found each, in the order of their ids. Documents that share no word with
+    a query are left out, so a query can have fewer than k rows, or none. Other columns are
+    left out, texts can have any length, and empty tables give no rows.
+
+    Queries are searched in blocks of at most QUERY_WORDS words (and one query more), each
+    sent to all shards; a block's broadcast is freed after it.
     """
     spark = docs.sparkSession
     index = build_index(docs)
     total = index.agg(F.sum("docs").alias("n"), F.sum("words").alias("words")).first()
     n, words = total["n"] or 0, total["words"] or 0
-    asked = queries.where("query_id is not null").select("query_id", F.coalesce("text", F.lit("")).alias("text"))
-    terms = asked.mapInArrow(_query_terms, "query_id long, term long").distinct()
-    df = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy("x.terms").agg(F.sum("x.dfs").alias("df"))
-    weighted = terms.join(df.withColumnRenamed("terms", "term"), "term").select(
+    asked = queries.where("query_id is not null").select(
+        F.col("query_id").cast("long").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    terms = materialize(asked.mapInArrow(_query_terms, "query_id long, term long").distinct(), "query-words")
+    df = (
+        index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x"))
+        .select(F.col("x.terms").alias("term"), F.col("x.dfs").alias("df"))
+        .groupBy("term")
+        .agg(F.sum("df").alias("df"))
+    )
+    weighted = terms.join(df, "term").select(
         "query_id", "term", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
-    # Blocks of queries: by their number and their words, counted in parts that are spread evenly.
-    sizes = materialize(weighted, "query-terms")
-    blocks = _blocks(sizes)
-    found = None
-    for block in range(blocks[1]):
-        own = blocks[0].where(F.col("block") == block).orderBy("query_id", "term").toArrow()
+    blocked, blocks = _blocks(materialize(weighted, "query-terms"))
+    found = [spark.createDataFrame([], "query_id long, doc_id long, score double")]
+    for block in range(blocks):
+        own = blocked.where(F.col("block") == block).orderBy("query_id", "term").toArrow()
         q = own["query_id"].to_numpy()
-        at = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.empty(0, np.int64)
-        sent = spark.sparkContext.broadcast(
-            (q[at].tolist(), np.append(at, len(q)), own["term"].to_numpy().view(np.uint64), own["idf"].to_numpy())
-        )
-        # Shards of a task are merged there, so a query gives k rows a task; as many tasks as run at once.
-        part = index.select("shard").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(
-            _search(sent, words / n if n else 0.0, k), "query_id long, doc_id long, score double"
-        )
-        part = materialize(part, "found")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, doc_id long, score double")
+        if not len(q):
+            continue
+        at = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        sent = (q[at], np.append(at, len(q)), own["term"].to_numpy().view(np.uint64), own["idf"].to_numpy())
+        floor = np.full(len(at), -np.inf)
+        for seeds in (True, False):
+            value = spark.sparkContext.broadcast((*sent, floor))
+            with _one_a_batch(spark):
+                rows = index.where(F.col("seed") if seeds else ~F.col("seed")).select("shard")
+                rows = rows.mapInArrow(_search(value, words / n, k), "query_id long, doc_id long, score double")
+                part = materialize(rows, "found")
+            value.destroy()
+            found.append(part)
+            if seeds:
+                # A query's k-th best score among the seeds; all others must reach it. One number a query of the block.
+                kth = part.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc())))
+                held = kth.where(F.col("at") == k).select("query_id", "score").toArrow()
+                floor[np.searchsorted(sent[0], held["query_id"].to_numpy())] = held["score"].to_numpy()
+    every = found[0]
+    for part in found[1:]:
+        every = every.union(part)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return (
-        found.withColumn("rank", F.row_number().over(best))
+        every.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "score")
     )
@@ -272,7 +415,6 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def _blocks(terms: DataFrame) -> tuple[DataFrame, int]:
     """The terms with the number of their query's block, and the number of blocks."""
-    total = terms.agg(F.countDistinct("query_id").alias("q"), F.count(F.lit(1)).alias("w")).first()
-    n = max(-(-total["q"] // QUERY_DOCS), -(-total["w"] // QUERY_WORDS))
-    block: Column = F.pmod(F.xxhash64("query_id"), F.lit(max(n, 1)))
+    n = max(-(-terms.count() // QUERY_WORDS), 1)
+    block: Column = F.pmod(F.xxhash64("query_id"), F.lit(n))
     return terms.withColumn("block", block), n

@@ -94,6 +94,21 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coal
 FROM w LEFT JOIN y ON w.doc_id = y.doc_id
 """
 
+#: Scores of all documents for all queries.
+OP4_SQL = f"""
+WITH w AS (SELECT doc_id, unnest({WORDS}) AS t FROM documents),
+l AS (SELECT doc_id, len({WORDS}) AS n FROM documents),
+m AS (SELECT count(*) AS docs, sum(n) / count(*) AS mean FROM l),
+f AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL),
+i AS (SELECT t, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f, m GROUP BY t, docs),
+x AS (SELECT doc_id, t, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS part
+  FROM f JOIN l USING (doc_id) JOIN i USING (t), m),
+s AS (SELECT q.doc_id AS query_id, x.doc_id, round(sum(part), 6) AS score
+  FROM f q JOIN x ON q.t = x.t WHERE q.doc_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 #: All pairs of different shingle sets with a common shingle.
 OP6_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
@@ -142,6 +157,7 @@ SELECT doc_id, license, 1.0::DOUBLE AS containment, min(place) AS first_word FRO
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_substring_dedup": OP3_SQL,
+        "op4_bm25_search": OP4_SQL,
         "op6_ngram_join": OP6_SQL,
         "op8_license_scan": OP8_SQL,
         "op8_short_notices": OP8_SHORT_SQL,
