@@ -12,8 +12,11 @@ A file is::
   uint32, frames uint32, id width uint8, magic ``ZTOKSEEK``).
 * The end mark is an empty skippable frame, so ``zstd -d`` reads a whole file as well.
 
-Spark's own writer puts the files in place, so its commit protocol covers lost
-executors and repeated tasks, on any store that Spark can write to.
+Spark's own text writer puts the files in place, so its commit protocol covers lost
+executors and repeated tasks, on any store that Spark can write to. This relies on two
+things: a cast of binary to string keeps all bytes as they are, valid UTF-8 or not, and the
+writer copies a string's bytes and puts its line separator, here the end mark, after them.
+The checksums would tell if a Spark version did otherwise.
 """
 
 from __future__ import annotations

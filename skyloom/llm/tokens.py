@@ -5,7 +5,8 @@ single space or newline meets other characters is always such a split. So a text
 are the ids of its words in a row. Words recur: each worker keeps the ids of words it
 has met and asks the library's model for new ones only. Pieces for which the split isn't
 certain (odd white space, digits, apostrophes, rare scripts) go through the library's
-whole pipeline instead, so the ids are always those of the whole text.
+whole pipeline instead, and so do texts in which one of the file's added tokens is written
+out, which the library takes as that token. So the ids are always those of the whole text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 
 #: Words that one worker keeps, with and without their punctuation. When full, further
 #: words are encoded each time they come.
-KEPT_WORDS, KEPT_PIECES = 700_000, 700_000
+KEPT_WORDS, KEPT_PIECES = 150_000, 150_000
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = ".,|*#%&$!?:;"
@@ -86,11 +87,14 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self._np = np
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Finds added tokens in a text, in any case; their first letters, which most texts don't have.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.firsts = sorted({c for t in added for c in (t[0].lower(), t[0].upper())})
         self.drops_space = self.ask(" a  \n\n b ") == self.ask("a b")
         self.pieces = _Pieces(self.model, self.drops_space, self.width)
         self.words = _Words(self.pieces, self.between, "" if self.drops_space else " ")
@@ -110,6 +114,8 @@ class TextEncoder:
         return self.ask(part) if part else b""
 
     def encode(self, text: str) -> bytes:
+        if any(c in text for c in self.firsts) and self.added.search(text):
+            return self.ask(text)
         if self.drops_space:
             return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or ODD_SPACE.search(text):

@@ -13,13 +13,13 @@ TEXTS = [
     "", " ", "a\nb", "Foo  bar", "x\ty", "\n\n a", "a \n", "é́ b", "it's don't 've", "<|endoftext|> a", "\x1ca b",
     "a b 　c", "a.\n", "\na", "ÀÉ... ßtra; a", "a ... b", "a|b |c ﬁ ①", "Ünder\nÉ", " a", "a ́b", "ſ K İ", "á. b",
     "日本語 テキスト。", "1234 5,6", "word " * 3000,
+    "one <|endoftext|> two", "<|startoftext|>a<|ENDOFTEXT|> b", "x<|endoftext|>  y\n", "a < b <| c |> <|endoftex|>",
 ]
 
 
 @pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
 def test_ids_are_those_of_whole_texts(path):
     enc, ref = tokens.TextEncoder(path), Tokenizer.from_file(path)
-    ref.encode_special_tokens = True
     for _ in range(2):  # words are kept the second time
         for t in TEXTS:
             got = np.frombuffer(enc.encode(t), enc.dtype).tolist()
@@ -37,7 +37,6 @@ def test_full_caches_change_nothing(monkeypatch):
 
 def expected(rows):
     ref = Tokenizer.from_file(BYTE_BPE)
-    ref.encode_special_tokens = True
     start, out = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*ref.encode(t or "", add_special_tokens=False).ids, 2]
@@ -48,8 +47,8 @@ def expected(rows):
 
 def test_report_round_trip(spark, docs, monkeypatch):
     monkeypatch.setattr(frame_files, "FILE_BYTES", 50)  # several files a part
-    rows = [(i * 7 % 50, TEXTS[i % len(TEXTS)]) for i in range(50)] + [(None, "x y"), (None, None), (3, "twice"), (3, "twice")]
-    got = [tuple(r) for r in frame_files.token_report(docs(rows, 4), BYTE_BPE, 2).collect()]
+    rows = [(i * 7 % 50, TEXTS[i % len(TEXTS)]) for i in range(50)] + [(None, "x y"), (None, None), (3, "twice"), (3, "twice"), (51, "long " * 200_000)]
+    got = [tuple(r) for r in frame_files.token_report(docs(rows, 4).selectExpr("*", "1 part", "2 file", "3 place", "4 start"), BYTE_BPE, 2).collect()]
     assert sorted(got, key=lambda r: r[1]) == expected(rows)
     assert frame_files.token_report(docs([]), BYTE_BPE, 2).count() == 0
 
