@@ -3,13 +3,13 @@
 The model file, a protobuf, is read field by field: pieces with scores and types, and the
 trainer's and normaliser's settings. From these a tokenizer is built: unigram scores, or
 byte-pair merges in the order of scores; byte fallback; the meta-space mark; the
-normaliser. Encodings are compared with the sentencepiece library itself.
+normaliser. Batches of whole texts are encoded and decoded by the library's threads, and
+each text is compared with what the sentencepiece library makes of it.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words a worker keeps the ids of.
-KEPT_WORDS = 500_000
+#: Threads that encode a batch, and bytes of text in one; a longer text is a batch of its own.
+THREADS, BATCH_BYTES = 2, 500_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
@@ -160,7 +160,7 @@ class Model:
 class Codec:
     """Encodes batches, decodes ids, and compares both with the sentencepiece library."""
 
-    def __init__(self, path: str, threads: int = 1):
+    def __init__(self, path: str, threads: int = THREADS):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
@@ -170,16 +170,6 @@ class Codec:
         self.tokenizer = self.model.tokenizer()
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
-        m = self.model
-        self.cut = (
-            re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
-            if m.words_apart() and m.escape_spaces and not m.drop_extra_spaces and not m.charsmap and m.normalizer == "identity"
-            else None
-        )
-        #: Ids of words, and the words for which the libraries differ or decoding gives another text.
-        self.known: dict[str, bytes] = {}
-        self.differs: set[str] = set()
-        self.decoded: dict[str, str] = {}
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts, by the library's own threads. An empty text has no ids, as in sentencepiece."""
@@ -187,51 +177,20 @@ class Codec:
         found = iter(self.tokenizer.encode_batch_fast(full, add_special_tokens=False))
         return [next(found).ids if t else [] for t in texts]
 
-    def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+    def decode_batch(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def check_batch(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
-        """Ids, parity with sentencepiece, and decoded text, from both libraries' whole pipelines."""
-        ours, theirs = self.encode_batch(texts), self.reference.encode(texts, num_threads=self.threads)
-        back = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
-        return [(pack(a), a == b, t if a else "") for a, b, t in zip(ours, theirs, back, strict=True)]
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_batch([ids])[0]
 
     def check(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
-        """As :meth:`check_batch`, by way of the words that recur.
+        """Ids of every whole text, parity, and the text decoded from the ids.
 
-        No merge crosses the front of a word, so the ids of a text are those of its words
-        in a row, and its decoded text is theirs; each new word goes through both
-        libraries, encoded and decoded.
+        Parity: sentencepiece gives the same ids for the text and the same text for the ids.
         """
-        if self.cut is None:
-            return self.check_batch(texts)
-        lead = " " if self.model.dummy_prefix else ""
-        cuts = [self.cut.findall(lead + t) if t else [] for t in texts]
-        known, fresh = self.known, {}
-        new = [w for w in {w for c in cuts for w in c} if w not in known]
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            # Both libraries put the lead in front themselves.
-            found = self.check_batch([w[1:] if lead else w for w in part])
-            for w, (ids, same, back) in zip(part, found, strict=True):
-                if len(w) == len(lead):  # the lead alone
-                    ids, same, back = pack([self.tokenizer.token_to_id(SPACE)]), True, ""
-                if not same:
-                    self.differs.add(w)
-                if lead + back != w:
-                    self.decoded[w] = lead + back
-                fresh[w] = ids
-        if len(known) < KEPT_WORDS:
-            known.update(fresh)
-            get = known.__getitem__
-        else:
-            get = lambda w: fresh[w] if w in fresh else known[w]
-        out = []
-        for c in cuts:
-            same = not self.differs or self.differs.isdisjoint(c)
-            back = "".join(c if not self.decoded else [self.decoded.get(w, w) for w in c])[len(lead) :]
-            out.append((b"".join(map(get, c)), same, back))
-        return out
+        ours, theirs = self.encode_batch(texts), self.reference.encode(texts, num_threads=self.threads)
+        back, wanted = self.decode_batch(ours), self.reference.decode(ours) if ours else []
+        return [(pack(a), a == b and t == u, t) for a, b, t, u in zip(ours, theirs, back, wanted, strict=True)]
 
 
 def pack(ids: list[int]) -> bytes:
@@ -247,14 +206,27 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _slices(batch):
+    """Slices of a batch with BATCH_BYTES of text at most, or one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + BATCH_BYTES, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _encode(path: str):
     def run(batches):
         import pyarrow as pa
 
         c = codec(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for part in _slices(batch):
                 found = c.check([t if t is not None else "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found])],
@@ -270,8 +242,12 @@ def _decode(path: str):
 
         c = codec(path)
         for batch in batches:
-            out = [c.decode(list(struct.unpack(f"<{len(x) // 4}I", x))) if x else "" for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "decoded"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                ids = [list(struct.unpack(f"<{len(x or b'') // 4}I", x or b"")) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(c.decode_batch(ids))], [*part.schema.names, "decoded"]
+                )
 
     return run
 
@@ -297,10 +273,10 @@ def report(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, parity, decoded_sha256 and round_trip of every document.
 
     Null texts count as empty and have no ids. A null doc_id stays null, repeated rows are
-    encoded each, other columns are left out, and an empty table gives no rows. ``parity``
-    tells whether none of the document's words differed between the libraries when each was
-    encoded alone. The decoded text is put together from its words, each decoded alone;
-    ``round_trip`` tells whether that gives the text. Neither compares the whole document.
+    encoded each, other columns are left out, and an empty table gives no rows. Texts of any
+    length are encoded and decoded whole. ``parity`` tells whether sentencepiece gives the same
+    ids for the whole text and the same text for the ids, ``round_trip`` whether the text that
+    is decoded from the ids is the input.
     """
 
     def run(batches):
@@ -310,8 +286,7 @@ def report(docs: DataFrame, model: str) -> DataFrame:
 
         c = codec(model)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for part in _slices(batch):
                 texts = part.column("text").to_pylist()
                 found = c.check(texts)
                 yield pa.RecordBatch.from_arrays(
