@@ -15,9 +15,9 @@ levels follows q(1) = 1 - (1 - J)^picks and q(d + 1) = 1 - (1 - J q(d))^picks, a
 1. Sets with equal shingles are one class, represented by the least doc_id.
 2. Paths of all runs meet by key; what meets in a small node and has similar sketches is
    joined to a candidate family. Only tree edges are kept (a row a member), not pairs.
-3. A family's shingles meet once, in blocks, and all similarities in it are exact:
-   common shingles are counted by a product of 0/1 matrices. Each block pair gives the
-   links of its members and tree edges again, and these edges make the classes.
+3. A family's shingles meet in pairs of blocks whose sizes allow links, and all similarities
+   there are exact: common shingles are counted by a product of 0/1 matrices. Each block pair
+   gives the links of its members and tree edges again, and these edges make the classes.
 
 So no step emits the pairs of a group, links are counted for all of them, and a large
 family is spread over block pairs.
@@ -32,17 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyloom.llm.common import NULL_ID, id_key, materialize
+from skyloom.llm.common import NULL_ID, discard, id_key, materialize
 from skyloom.llm.words import SEEDS, Words, mix
 
 K, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Coordinates of a sketch, coordinates picked at a node, and levels of the descent.
 WIDTH, PICKS, DEPTH = 64, 3, 3
-#: Sets in a node that are compared at once, and sets in a block of a family.
-NODE, BLOCK = 2048, 512
-#: A sketch agrees in WIDTH x J places on average; pairs this far below the threshold (five
-#: standard deviations) aren't candidates.
-SLACK = 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / WIDTH)
+#: Sets in a node that are compared at once, sets in a block of a family, and rows that a task compares at a time.
+NODE, BLOCK, ROWS = 256, 512, 8192
+
+
+def slack(threshold: float) -> float:
+    """A sketch agrees in WIDTH x J places on average; pairs this far below the threshold (five
+    standard deviations) aren't candidates."""
+    return 5 * math.sqrt(threshold * (1 - threshold) / WIDTH)
 
 
 def meeting_chance(j: float, picks: int, depth: int) -> float:
@@ -100,19 +103,20 @@ def _sketch(k: int, width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_hash"),
                         pa.array([len(x) for x in sets], pa.int32()),
                         pa.array([x for x, _ in sigs], pa.int64()),
                         pa.array([y for _, y in sigs], pa.int64()),
                         pa.array([min_hashes(x, width) for x in sets], pa.binary()),
                     ],
-                    ["doc_id", "size", "sig1", "sig2", "sketch"],
+                    ["doc_id", "text_hash", "size", "sig1", "sig2", "sketch"],
                 )
 
     return run
 
 
 def _tokens(k: int):
-    """Shingle sets of the texts that have the signature asked for."""
+    """Shingle sets of texts."""
 
     def run(batches):
         import pyarrow as pa
@@ -120,16 +124,16 @@ def _tokens(k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = shingle_sets(part.column("text"), k)
-                right = [signature(x)[0] == s for x, s in zip(sets, part.column("sig1").to_pylist(), strict=True)]
-                tokens = pa.array([x.tobytes() if r else None for x, r in zip(sets, right, strict=True)], pa.binary())
-                cols = [part.column(c) for c in ("id", "family", "n")]
-                yield pa.RecordBatch.from_arrays([*cols, tokens], ["id", "family", "n", "tokens"]).filter(pa.array(right))
+                tokens = pa.array([x.tobytes() for x in shingle_sets(part.column("text"), k)], pa.binary())
+                names = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), tokens], [*names, "tokens"])
 
     return run
 
 
-SETS = "doc_id long, size int, sig1 long, sig2 long, sketch binary"
+#: The block pairs that a set takes part in.
+PAIRS = "array<struct<lo:int,i:int,hi:int,j:int,side:int>>"
+SETS = "doc_id long, text_hash long, size int, sig1 long, sig2 long, sketch binary"
 
 
 def _child(node: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -193,7 +197,7 @@ def tree_edges(ids: np.ndarray, similar: np.ndarray) -> list[tuple[int, int]]:
 
 def _compare(width: int, threshold: float):
     """Tree edges between sets of a node with similar sketches. Rows of a node are together."""
-    least = (threshold - SLACK) * width
+    least = (threshold - slack(threshold)) * width
 
     def run(batches):
         import pyarrow as pa
@@ -229,7 +233,7 @@ def _compare(width: int, threshold: float):
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows >= 4 * NODE:
+            if held.num_rows >= ROWS:
                 edges, at = groups(held.combine_chunks(), False)
                 yield from out(edges)
                 held = held.slice(at)
@@ -264,6 +268,7 @@ def components(edges: DataFrame, label: str = "component") -> DataFrame:
         new = materialize(small, "small-star")
         same = new.select(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         was = now.select(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        discard(now, large)
         now = new
         if same == was:
             break
@@ -272,21 +277,18 @@ def components(edges: DataFrame, label: str = "component") -> DataFrame:
 
 
 def _verify(threshold: float):
-    """Exact links in one pair of blocks (rows: id, block, tokens), and their tree edges.
+    """Exact links in one pair of blocks (rows: id, side, tokens), and their tree edges.
 
-    Links inside a block are counted in the pair of a block with itself only.
+    ``side`` is 0 for rows of the first block and 1 for the second. Links inside a block are
+    counted in the pair of a block with itself only, whose rows all have side 0.
     """
 
     def run(key, table):
         import pyarrow as pa
 
-        i, j = key[1].as_py(), key[2].as_py()
-        ids = table["id"].to_numpy()
-        blocks = table["block"].to_numpy()
-        by = np.unique(ids, return_index=True)[1]  # a repeated row counts once
-        ids, blocks = ids[by], blocks[by]
-        raw = table["tokens"].to_pylist()
-        sets = [np.frombuffer(raw[k], np.uint64) for k in by]
+        alone = key[1:3] == key[3:5]
+        ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
         size = np.array([len(s) for s in sets], np.float32)
         row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
         _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -296,7 +298,7 @@ def _verify(threshold: float):
         row, column = row[shared], number[column[shared]]
         by_column = np.argsort(column, kind="stable")
         row, column = row[by_column], column[by_column]
-        x, y = (np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)) if i != j else (np.arange(len(ids)),) * 2
+        x, y = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         common = np.zeros((len(x), len(y)), np.float32)
         total, step = int(number[-1]) + 1 if len(number) else 0, 4096
         for c in range(0, total, step):
@@ -308,7 +310,7 @@ def _verify(threshold: float):
         similar = common >= np.float32(threshold) * union - np.float32(1e-3)
         similar &= common.astype(np.float64) / np.maximum(union, 1) >= threshold - 1e-9
         links = np.zeros(len(ids), np.int64)
-        if i == j:
+        if alone:
             np.fill_diagonal(similar, False)
             links += similar.sum(axis=1)
             full = similar
@@ -335,15 +337,18 @@ def link_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, reca
     A text of fewer than ``k`` words has itself as its one shingle. Null and empty texts
     have no shingles: each document is a class of its own, without links. Rows that share
     an id have a set each; they are one class only if their sets are equal or linked. Null
-    ids stay null and sort before all others. Other columns are left out.
+    ids stay null and sort before all others. Repeated rows are equal sets: each is returned.
+    Texts have any length, other columns are left out, and an empty table gives no rows.
     """
-    if threshold != THRESHOLD:
-        raise ValueError("sketch filter and number of runs are set for the module's THRESHOLD")
     texts = docs.select(id_key().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
     sets = materialize(texts.mapInArrow(_sketch(k, WIDTH), SETS), "sets")
     full = sets.where("size > 0")
     # One task may meet a third of all rows with equal sets: the minimum is pre-aggregated.
-    reps = full.groupBy("sig1", "sig2", "size").agg(F.min("doc_id").alias("rep_id"), F.first("sketch").alias("sketch"))
+    reps = full.groupBy("sig1", "sig2", "size").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("sketch").alias("sketch")
+    )
+    reps = reps.select("sig1", "sig2", "size", "sketch", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("text_hash"))
     # A set's id is its least doc_id; where rows with one doc_id have several sets, a hash tells these apart.
     several = F.count(F.lit(1)).over(Window.partitionBy("rep_id")) > 1
     reps = materialize(
@@ -351,7 +356,7 @@ def link_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, reca
     )
     sketches = reps.select(F.col("id").alias("doc_id"), "sketch")
 
-    nodes = sketches.mapInArrow(_descend(runs_for(recall), PICKS, WIDTH), "node long, doc_id long").distinct()
+    nodes = sketches.mapInArrow(_descend(runs_for(recall, threshold), PICKS, WIDTH), "node long, doc_id long").distinct()
     found = []
     for depth in range(1, DEPTH + 1):
         nodes = materialize(nodes, "nodes")
@@ -363,7 +368,7 @@ def link_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, reca
         else:
             small, large = size, None
         here = nodes.join(small, "node").join(sketches, "doc_id").select("node", "doc_id", "sketch", "n")
-        found.append(_node_edges(here))
+        found.append(_node_edges(here, threshold))
         if large is None:
             break
         nodes = (
@@ -378,7 +383,7 @@ def link_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, reca
         edges = edges.union(e)
     family = materialize(components(edges, "family"), "families")
 
-    members = family.join(reps, "id").select("id", "family", F.col("rep_id").alias("doc_id"), "sig1")
+    members = family.join(reps, "id").select("id", "family", F.col("rep_id").alias("doc_id"), "text_hash", "size")
     links, tree = _exact(members, texts, k, threshold)
     classes = components(tree, "root")
     per_set = (
@@ -401,7 +406,7 @@ def link_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, reca
     )
 
 
-def _node_edges(here: DataFrame) -> DataFrame:
+def _node_edges(here: DataFrame, threshold: float) -> DataFrame:
     """Tree edges of nodes. Nodes larger than NODE are compared in pairs of blocks."""
     blocks = F.ceil(F.col("n") / NODE).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
@@ -411,24 +416,56 @@ def _node_edges(here: DataFrame) -> DataFrame:
     )
     keyed = here.select(F.explode(F.when(blocks > 1, pairs).otherwise(F.array("node"))).alias("node"), "doc_id", "sketch")
     return keyed.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(
-        _compare(WIDTH, THRESHOLD), "a long, b long"
+        _compare(WIDTH, threshold), "a long, b long"
     )
 
 
 def _exact(members: DataFrame, texts: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Exact links of every set, and tree edges of the links, from the families' shingles."""
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    sets = texts.join(members.join(sizes, "family"), "doc_id").mapInArrow(
-        _tokens(k), "id long, family long, n long, tokens binary"
+    """Exact links of every set, and tree edges of the links, from the families' shingles.
+
+    Sets of a similarity ``t`` have sizes within a factor of 1 / t. So a family of more than
+    one block is cut into bands of sizes by that factor, and only blocks of one band or of
+    neighbouring bands meet. A text comes by its id and its hash, once however often it is
+    repeated, so ids that many rows share (as null does) don't multiply.
+    """
+    own = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    step = math.log(1 / threshold) * (1 + 1e-9) if threshold < 1 else 1.0
+    band = F.when(F.col("n") > BLOCK, F.floor(F.log(F.col("size").cast("double")) / step)).otherwise(0).cast("int")
+    banded = members.join(own, "family").withColumn("band", band).drop("n", "size")
+    sizes = banded.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # A family has few bands: one for each factor of 1 / t between its least and its greatest size.
+    by_band = Window.partitionBy("family").orderBy("band")
+    near = [
+        F.when(f("band", 1).over(by_band) == F.col("band") + d, f("blocks", 1).over(by_band)).otherwise(0).alias(name)
+        for f, d, name in ((F.lag, -1, "below"), (F.lead, 1, "above"))
+    ]
+    sizes = sizes.select("family", "band", "blocks", *near)
+    wanted = banded.join(sizes, ["family", "band"])
+    single = texts.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    sets = single.join(wanted, ["doc_id", "text_hash"]).select(
+        "id", "family", "band", "blocks", "below", "above", "text"
+    ).mapInArrow(
+        _tokens(k), "id long, family long, band int, blocks int, below int, above int, tokens binary"
     )
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = (
-        sets.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("id", "family", "block", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+
+    def pairs(n, make):
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast(PAIRS))
+
+    def pair(lo, i, hi, j, side):
+        cols = zip((lo, i, hi, j, side), ("lo", "i", "hi", "j", "side"), strict=True)
+        return F.struct(*[c.cast("int").alias(name) for c, name in cols])
+
+    b, zero, one = F.col("band"), F.lit(0), F.lit(1)
+    met = F.concat(
+        pairs(F.col("blocks"), lambda x: pair(b, F.least(x, block), b, F.greatest(x, block), F.when(x < block, one).otherwise(zero))),
+        pairs(F.col("above"), lambda x: pair(b, block, b + 1, x, zero)),
+        pairs(F.col("below"), lambda x: pair(b - 1, x, b, block, one)),
     )
+    placed = sets.select("id", "family", "tokens", F.explode(met).alias("p")).select("id", "family", "tokens", "p.*")
     checked = materialize(
-        placed.groupBy("family", "i", "j").applyInArrow(_verify(threshold), "id long, links long, root long"), "links"
+        placed.groupBy("family", "lo", "i", "hi", "j").applyInArrow(_verify(threshold), "id long, links long, root long"), "links"
     )
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))
     return links, checked.where("id != root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+

@@ -83,6 +83,49 @@ def test_null_ids_repeats_and_empty(spark, docs):
     assert cp.link_classes(docs([])).count() == 0
 
 
+def test_many_texts_under_one_id(spark, docs, monkeypatch):
+    """Null ids with many different texts: each text is read once, by its hash, not once for every set."""
+    monkeypatch.setattr(cp, "BLOCK", 10)
+    rows = corpus(5, n=12, family=25)
+    want = sorted(x[2] for x in brute(rows).values())
+    read = []
+    plain = cp._tokens
+    counted = spark.sparkContext.accumulator(0)
+
+    def tokens(k):
+        inner = plain(k)
+
+        def run(batches):
+            for batch in inner(batches):
+                counted.add(batch.num_rows)
+                yield batch
+
+        read.append(1)
+        return run
+
+    monkeypatch.setattr(cp, "_tokens", tokens)
+    df = docs([(None, t) for _, t in rows] * 2).selectExpr("*", "1 size", "2 node", "3 family", "4 id", "5 sig1")
+    got = sorted(r.n_links for r in cp.link_classes(df).collect())
+    assert read and got == sorted(want * 2)
+    assert counted.value <= len({t for _, t in rows})
+
+
+def test_sizes_in_a_large_family(spark, docs, monkeypatch):
+    """A chain from short to long texts is one family; links cross the bands of sizes."""
+    monkeypatch.setattr(cp, "BLOCK", 6)
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(words[: 20 + 4 * i])) for i in range(90)]
+    got = {r.doc_id: (r.rep_id, r.class_id, r.n_links) for r in cp.link_classes(docs(rows, 4)).collect()}
+    assert got == brute(rows)
+
+
+def test_other_thresholds(spark, docs):
+    rows = corpus(6, n=12)
+    got = {r.doc_id: (r.rep_id, r.class_id, r.n_links) for r in cp.link_classes(docs(rows, 4), threshold=0.7).collect()}
+    assert got == brute(rows, t=0.7)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randrange(40), 100) for _ in range(60)] + [(500, 500 + i) for i in range(30)]
