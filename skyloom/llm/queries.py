@@ -109,6 +109,44 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 FROM s QUALIFY rank <= 10
 """
 
+#: Marks where pieces end, cuts there, and hashes upwards.
+_TREE = f"""list_transform(string_split({{0}}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+  lambda p: list_transform(list_filter(string_split(regexp_replace(regexp_replace(p, '([{merkle.ENDS}])([ \\t])', '\\1' || chr(1) || '\\2', 'g'),
+    '([{merkle.MARKS}])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: md5(x))))"""
+_TREE = _TREE.replace("\\\\", "\\")
+_HASHED = """list_transform({0}, lambda s: {{'h': md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), '')),
+  'p': array_to_string(list_transform(s, lambda p: left(md5(array_to_string(p, '')), 8) ||
+    CASE WHEN len(p) > 0 THEN '.' ELSE '' END || array_to_string(list_transform(p, lambda m: left(m, 8)), ',')), ';')}})"""
+_PRINT = """md5(array_to_string(list_transform({0}, lambda s: s.h), '')) || '|' ||
+  array_to_string(list_transform({0}, lambda s: left(s.h, 10) || ':' || s.p), '|')"""
+_PIECES = "coalesce(list_sum(list_transform({0}, lambda x: length(x) - length(translate(x, '.,', '')))), 0)"
+
+
+def _walk_sql(a: str, b: str) -> str:
+    """Likeness of two fingerprints, one level after another."""
+    return f"""SELECT doc_id, CASE WHEN {a} = {b} THEN 1.0 ELSE 2.0 * (
+    {_PIECES.format("list_filter(x, lambda n: list_contains(y, n))")} + {_PIECES.format("list_filter(p, lambda n: list_contains(q, n))")} +
+    len(list_intersect(list_distinct(flatten(list_transform(list_filter(p, lambda n: NOT list_contains(q, n) AND length(n) > 8), lambda n: string_split(n[10:], ',')))),
+      list_distinct(flatten(list_transform(list_filter(q, lambda n: NOT list_contains(p, n) AND length(n) > 8), lambda n: string_split(n[10:], ',')))))))
+    / greatest({_PIECES.format("x")} + {_PIECES.format("y")}, 1) END AS near
+  FROM (SELECT *, list_distinct(flatten(list_transform(list_filter(x, lambda n: NOT list_contains(y, n)), lambda n: string_split(n[12:], ';')))) AS p,
+      list_distinct(flatten(list_transform(list_filter(y, lambda n: NOT list_contains(x, n)), lambda n: string_split(n[12:], ';')))) AS q
+    FROM (SELECT *, list_distinct(string_split({a}[34:], '|')) AS x, list_distinct(string_split({b}[34:], '|')) AS y FROM f))"""
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM d),
+e AS (SELECT *, left(text, length(text) - length(text) // 4) || left(next, length(text) // 4) AS edited FROM n),
+t AS (SELECT *, {_HASHED.format(_TREE.format("text"))} AS a, {_HASHED.format(_TREE.format("edited"))} AS b,
+  {_HASHED.format(_TREE.format("next"))} AS c FROM e),
+f AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_PRINT.format("a")} AS fingerprint,
+  {_PRINT.format("b")} AS edited_fingerprint, {_PRINT.format("c")} AS next_fingerprint FROM t)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, u.near::DOUBLE AS near_edited, v.near::DOUBLE AS near_next
+FROM f JOIN ({_walk_sql("fingerprint", "edited_fingerprint")}) u USING (doc_id)
+JOIN ({_walk_sql("fingerprint", "next_fingerprint")}) v USING (doc_id)
+"""
+
 #: All pairs of different shingle sets with a common shingle.
 OP6_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
@@ -158,6 +196,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_substring_dedup": OP3_SQL,
         "op4_bm25_search": OP4_SQL,
+        "op5_merkle_fingerprints": OP5_SQL,
         "op6_ngram_join": OP6_SQL,
         "op8_license_scan": OP8_SQL,
         "op8_short_notices": OP8_SHORT_SQL,
