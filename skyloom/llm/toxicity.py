@@ -1,18 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read the words of a clause and write weighted tags:
-
-* insult: words and word stems with a weight each, as a trie whose states are prefixes
-  and whose accepting states carry the weight;
-* threat, target, negation and reported speech: closed-class words of four languages.
-
-They are composed into a clause grammar: ``[reported] [target] [negation] (insult |
-threat)+ [target]``. A threat counts only in a clause with a target, where it makes a match
-without any insult too. The automaton runs over the clause's tags and gives the clause a
-weight: its insults' weights in sum, beside the number of its threats, tagged by whether a target
-stands in the clause and whether negation or reported speech governs the match. A document's features
-are sums over its matched clauses, never over words outside a match, and a logistic model
-turns them into a score.
+Five lexical transducers read the letters of a word and write a weighted tag: insult (words and
+word stems, each with a weight), threat, target, negation and reported speech (closed-class
+words of four languages). Their union is one trie whose states are prefixes. A word that none
+accepts has the tag "other".
+
+Three transducers over tags rewrite a clause's tags, one for one:
+
+* negation: for ``SCOPE`` words after a negation, unless a target comes between, hits (insults
+  and threats) are marked as negated;
+* reported speech: for ``SCOPE`` words after a word of saying, hits are marked as reported;
+* target: hits in a clause with a target, before or after them, are marked as aimed. It reads
+  from left to right and guesses that a target will follow; a path with a wrong guess doesn't end
+  in a final state. A threat that isn't aimed becomes "other".
+
+Their composition is the clause grammar ``[reported] [target] [negation] (insult | threat)+
+[target]``, with other words anywhere between, and is made by the usual product of
+transducers. A clause's reading is its path of greatest weight from the start to a final state;
+a path weighs what its arcs weigh in sum, insults with their lexicon's weight and ``AIMED`` for
+each hit with a target. A document's features are sums over the hits of its clauses' readings,
+never over words outside a match, and a logistic model turns them into a score.
 
 The insult lexicon and the model's weights are learned from labelled rows: words and
 stems are candidates, weighed by the log odds of toxic against other documents.
@@ -35,8 +42,11 @@ from skyloom.llm.common import materialize
 SAMPLE_ROWS = 12_000
 #: Lengths of stems that are tried as prefixes, and the least number of toxic documents with one.
 STEM_LENGTHS, LEAST_DOCS, LEXICON = (4, 5, 6, 7), 8, 400
-#: Least share of the toxic documents with an entry, so that a few near copies don't make one.
-LEAST_SHARE = 0.02
+#: Least share of the toxic documents with an entry, so that a few near copies don't make one; so many different
+#: texts are enough for any sample, so that a language with few toxic documents has entries too.
+LEAST_SHARE, ENOUGH_DOCS = 0.02, 30
+#: Words that a worker keeps the tags of.
+KEPT_WORDS = 100_000
 #: Least log odds of a lexicon entry.
 LEAST_WEIGHT = 1.5
 
@@ -50,38 +60,149 @@ NEGATION = "not no never isn't don't nicht kein keine nie niemals ne pas jamais
 REPORTED = "said says wrote called reported quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó"
 THREATS, TARGETS, NEGATIONS, REPORTS = (frozenset(x.split()) for x in (THREAT, TARGET, NEGATION, REPORTED))
 
-#: Words before a match in which negation or reported speech governs it.
-SCOPE = 4
+#: Words before a hit in which negation or reported speech governs it, and the weight of a hit with a target.
+SCOPE, AIMED = 4, 0.5
+
+OTHER, INSULT, THREAT_TAG, TARGET_TAG, NEGATION_TAG, REPORT_TAG = "o", "I", "T", "G", "N", "R"
+#: Marks that transducers put behind a hit's tag.
+NEGATED, QUOTED, AT_TARGET = "-", '"', "@"
+
+
+@dataclass
+class Transducer:
+    """Reads a tag and writes a tag on each arc. Arcs: state -> tag -> [(written tag, weight, next state)]."""
+
+    start: object
+    finals: set
+    arcs: dict
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this one writes is what the other reads. Weights add up."""
+        start = (self.start, other.start)
+        made, arcs, finals = [start], {}, set()
+        for state in made:  # grows
+            p, q = state
+            if p in self.finals and q in other.finals:
+                finals.add(state)
+            arcs[state] = own = {}
+            for tag, steps in self.arcs[p].items():
+                for mid, w, p2 in steps:
+                    for out, v, q2 in other.arcs[q].get(mid, ()):
+                        own.setdefault(tag, []).append((out, w + v, (p2, q2)))
+                        if (p2, q2) not in arcs and (p2, q2) not in made:
+                            made.append((p2, q2))
+        return Transducer(start, finals, arcs)
+
+    def read(self, tags: list[list[tuple[str, float]]]) -> list[str] | None:
+        """The tags written on the path of greatest weight; each place has one or more weighted tags to read.
+
+        Of paths with equal weights, the first by the order of arcs. None if no path ends in a final state.
+        """
+        paths = {self.start: (0.0, None)}  # state -> weight, (written tag, the path before)
+        for place in tags:
+            new: dict = {}
+            for state, (weight, path) in paths.items():
+                arcs = self.arcs[state]
+                for tag, own in place:
+                    for out, w, to in arcs.get(tag, ()):
+                        total = weight + own + w
+                        if to not in new or total > new[to][0]:
+                            new[to] = (total, (out, path))
+            paths = new
+        ends = [paths[s] for s in paths if s in self.finals]
+        if not ends:
+            return None
+        path, out = max(ends, key=lambda x: x[0])[1], []
+        while path is not None:
+            out.append(path[0])
+            path = path[1]
+        return out[::-1]
+
+
+def _is_hit(tag: str) -> bool:
+    return tag[0] in (INSULT, THREAT_TAG)
+
+
+def scope(opens: str, mark: str, tags: list[str], closes: str = "") -> Transducer:
+    """Marks the hits of ``SCOPE`` words after a tag that opens. States: words left in the scope."""
+    arcs: dict = {}
+    for left in range(SCOPE + 1):
+        arcs[left] = {}
+        for tag in tags:
+            out = tag + mark if left and _is_hit(tag) else tag
+            to = SCOPE if tag == opens else 0 if tag == closes else max(left - 1, 0)
+            arcs[left][tag] = [(out, 0.0, to)]
+    return Transducer(0, set(arcs), arcs)
+
+
+def at_target(tags: list[str]) -> Transducer:
+    """Marks the hits of clauses with a target. States: no target so far, one is promised, one was seen."""
+    arcs: dict = {state: {} for state in ("none", "promised", "seen")}
+    for tag in tags:
+        if not _is_hit(tag):
+            seen = tag == TARGET_TAG
+            for state in arcs:
+                arcs[state][tag] = [(tag, 0.0, "seen" if seen else state)]
+        else:
+            aimed = (tag + AT_TARGET, AIMED)
+            alone = (OTHER if tag[0] == THREAT_TAG else tag, 0.0)
+            arcs["none"][tag] = [(*alone, "none"), (*aimed, "promised")]
+            arcs["promised"][tag], arcs["seen"][tag] = [(*aimed, "promised")], [(*aimed, "seen")]
+    return Transducer("none", {"none", "seen"}, arcs)
+
+
+def clause_grammar() -> Transducer:
+    plain = [OTHER, INSULT, THREAT_TAG, TARGET_TAG, NEGATION_TAG, REPORT_TAG]
+    negated = plain + [t + NEGATED for t in plain if _is_hit(t)]
+    quoted = negated + [t + QUOTED for t in negated if _is_hit(t)]
+    return (
+        scope(NEGATION_TAG, NEGATED, plain, closes=TARGET_TAG).then(scope(REPORT_TAG, QUOTED, negated)).then(at_target(quoted))
+    )
 
 
 @dataclass
-class Trie:
-    """The insult transducer: reads letters, accepts at a state with a weight.
+class Lexicon:
+    """The union of the lexical transducers: reads letters, accepts at a state with weighted tags.
 
     A state that ends a whole word only is told apart from one that ends a stem.
     """
 
     root: dict = field(default_factory=dict)
 
+    def add(self, entry: str, kind: str, tag: str, weight: float) -> None:
+        """``kind`` is "word" or "stem"."""
+        state = self.root
+        for letter in entry:
+            state = state.setdefault(letter, {})
+        state.setdefault(kind, {})[tag] = weight
+
     @classmethod
-    def of(cls, words: dict[str, float], stems: dict[str, float]) -> Trie:
-        t = cls()
-        for kind, entries in (("word", words), ("stem", stems)):
-            for entry, weight in entries.items():
-                state = t.root
-                for letter in entry:
-                    state = state.setdefault(letter, {})
-                state[kind] = weight
-        return t
-
-    def weight(self, word: str) -> float:
-        state, best = self.root, 0.0
+    def of(cls, words: dict[str, float], stems: dict[str, float]) -> Lexicon:
+        out = cls()
+        for entry, weight in words.items():
+            out.add(entry, "word", INSULT, weight)
+        for entry, weight in stems.items():
+            out.add(entry, "stem", INSULT, weight)
+        closed = ((THREATS, THREAT_TAG), (TARGETS, TARGET_TAG), (NEGATIONS, NEGATION_TAG), (REPORTS, REPORT_TAG))
+        for entries, tag in closed:
+            for entry in sorted(entries):
+                out.add(entry, "word", tag, 0.0)
+        return out
+
+    def read(self, word: str) -> list[tuple[str, float]]:
+        """The word's tags, each with its greatest weight; "other" where there is none."""
+        state, found = self.root, {}
         for letter in word:
             state = state.get(letter)
             if state is None:
-                return best
-            best = max(best, state.get("stem", 0.0))
-        return max(best, state.get("word", 0.0))
+                break
+            for tag, w in state.get("stem", {}).items():
+                found[tag] = max(w, found.get(tag, 0.0))
+        if state is not None:
+            for tag, w in state.get("word", {}).items():
+                found[tag] = max(w, found.get(tag, 0.0))
+        # Closed-class words keep their part; of an insult and another part, the insult's weight decides.
+        return list(found.items()) or [(OTHER, 0.0)]
 
 
 #: Features of a document, all sums over matched clauses.
@@ -89,35 +210,43 @@ FEATURES = ("insults", "weight", "density", "clauses", "repeated", "aimed", "neg
 
 
 class Grammar:
-    """The composed transducers over a whole text."""
+    """Lexicon and clause grammar over a whole text."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.trie = Trie.of(words, stems)
+        self.lexicon, self.grammar = Lexicon.of(words, stems), clause_grammar()
+        #: Tags of words that were met.
+        self.tags: dict[str, list[tuple[str, float]]] = {}
         stem = "|".join(sorted(map(re.escape, stems), key=len, reverse=True))
         word = "|".join(sorted(map(re.escape, words), key=len, reverse=True))
         threat = "|".join(sorted(map(re.escape, THREATS), key=len, reverse=True))
         parts = [x for x in (f"(?:{stem})[^\\W\\d_]*" if stem else "", f"(?:{word})" if word else "", f"(?:{threat})") if x]
-        # A first pass finds where any insult or threat stands; only clauses there are parsed.
+        # A first pass finds where any insult or threat stands; only clauses there can have a hit.
         self.first = re.compile(r"(?<![^\W\d_])(?:" + "|".join(parts) + r")(?![^\W\d_])")
 
+    def read_word(self, word: str) -> list[tuple[str, float]]:
+        found = self.tags.get(word)
+        if found is None:
+            found = self.lexicon.read(word)
+            if len(self.tags) < KEPT_WORDS:
+                self.tags[word] = found
+        return found
+
     def clause(self, words: list[str]) -> tuple[float, int, int, int, int, int]:
-        """Run the clause automaton: weight, insults, aimed, negated, reported, threats."""
+        """The best reading of a clause: weight, insults, aimed, negated, reported, threats.
+
+        The first five are of its insults; threats are those with a target that aren't negated.
+        """
+        tags = [self.read_word(w) for w in words]
         total, insults, threats, aimed, negated, reported = 0.0, 0, 0, 0, 0, 0
-        negation = report = -SCOPE - 1
-        target = any(w in TARGETS for w in words)
-        for i, w in enumerate(words):
-            if w in NEGATIONS:
-                negation = i
-            elif w in REPORTS:
-                report = i
-            elif x := self.trie.weight(w):
-                total += x
+        for own, out in zip(tags, self.grammar.read(tags), strict=True):
+            if out[0] == INSULT:
+                total += dict(own)[INSULT]
                 insults += 1
-                aimed += target
-                negated += i - negation <= SCOPE
-                reported += i - report <= SCOPE
-            elif w in THREATS and target:
-                threats += 1
+                aimed += AT_TARGET in out
+                negated += NEGATED in out
+                reported += QUOTED in out
+            elif out[0] == THREAT_TAG:
+                threats += NEGATED not in out
         return total, insults, aimed, negated, reported, threats
 
     def features(self, text: str | None) -> np.ndarray:
@@ -129,7 +258,7 @@ class Grammar:
         if not found:
             return out
         sums = np.zeros(6)
-        kinds = {w for a, b in found if self.trie.weight(w := low[a:b])}
+        kinds = {w for w in {low[a:b] for a, b in found} if INSULT in dict(self.read_word(w))}
         clauses, at = 0, 0
         for a, _ in found:
             if a < at:
@@ -139,11 +268,10 @@ class Grammar:
                 begin = m.end()
             stop = CLAUSE.search(low, a)
             at = stop.start() if stop else len(low)
-            words = WORD.findall(low, begin, at)
-            own = self.clause(words)
+            own = self.clause(WORD.findall(low, begin, at))
             sums += own
             # A threat without a target matches nothing.
-            clauses += own[5] > 0 or not kinds.isdisjoint(words)
+            clauses += own[5] > 0 or own[1] > 0
         weight, insults, aimed, negated, reported, threats = sums
         length = max(len(low) / 6.0, 1.0)
         out[:] = (
@@ -267,7 +395,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("toxic") != 1, F.col("n")).otherwise(0)).alias("b"),
     )
-    least = max(3, min(LEAST_DOCS, toxic // 6), math.ceil(LEAST_SHARE * toxic))
+    least = max(3, min(LEAST_DOCS, toxic // 6), min(math.ceil(LEAST_SHARE * toxic), ENOUGH_DOCS))
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (others + 1))
     telling = counted.where((F.col("a") >= least) & (odds > LEAST_WEIGHT)).orderBy(odds.desc(), "entry", "stem").limit(20 * LEXICON)
     words, stems = lexicon([(r["entry"], r["stem"], r["a"], r["b"]) for r in telling.collect()], toxic, others)
@@ -319,8 +447,8 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
 def scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
-    A null doc_id stays null and isn't held out. Repeated rows are scored each, other
-    columns are left out, and an empty table gives no rows.
+    A null doc_id stays null and isn't held out. Repeated rows are scored each and alike, other
+    columns are left out, texts can have any length, and an empty table gives no rows.
     """
     model = train(docs, labels, sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
