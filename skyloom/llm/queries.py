@@ -168,7 +168,8 @@ _TEMPLATES = ", ".join(
     "('" + name + "', [" + ", ".join(f"'{w}'" for w in license_scan.template_words(text)) + "])"
     for name, text in license_scan.TEMPLATES.items()
 )
-#: Containment of every template in every text.
+_SUPERSEDED = ", ".join(f"('{a}', '{b}')" for a, b in license_scan.superseded(license_scan.TEMPLATES))
+#: Containment of every template in every text; of a match and a longer one that it stands in, the longer.
 OP8_SQL = rf"""
 WITH t AS (SELECT DISTINCT license, array_to_string(ws[i:i + 4], ' ') AS h
   FROM (SELECT license, ws, unnest(range(1, len(ws) - 3)) AS i FROM (VALUES {_TEMPLATES}) v(license, ws))),
@@ -176,8 +177,10 @@ n AS (SELECT license, count(*) AS n FROM t GROUP BY license),
 w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
 s AS (SELECT doc_id, i - 1 AS place, array_to_string(ws[i:i + 4], ' ') AS h
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
-f AS (SELECT doc_id, license, count(DISTINCT h) AS c, min(place) AS first_word FROM s JOIN t USING (h) GROUP BY ALL)
-SELECT doc_id, license, round(c::DOUBLE / n, 6) AS containment, first_word FROM f JOIN n USING (license) WHERE c::DOUBLE / n >= 0.8
+f AS (SELECT doc_id, license, count(DISTINCT h) AS c, min(place) AS first_word FROM s JOIN t USING (h) GROUP BY ALL),
+m AS (SELECT doc_id, license, round(c::DOUBLE / n, 6) AS containment, first_word FROM f JOIN n USING (license) WHERE c::DOUBLE / n >= 0.8)
+SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o JOIN (VALUES {_SUPERSEDED}) p(a, b) ON o.license = p.b
+  WHERE o.doc_id = m.doc_id AND m.license = p.a)
 """
 
 _SHORT = ", ".join(
