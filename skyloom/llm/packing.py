@@ -3,9 +3,11 @@
 The plan is made on counts of pieces by length: at most ``capacity`` numbers, whatever
 the size of the corpus. The large lengths go through a linear grouping scheme: sorted,
 cut into groups with (nearly) equal numbers of pieces, and rounded up to their group's
-largest, so that only a few sizes are left. Configurations of these sizes are chosen one
-after another, the fullest that holds the largest size left, as often as the counts
-allow. Then the actual lengths take the places of the rounded ones, and small pieces are
+largest, so that only a few sizes are left. Configurations of these few sizes are optimised by
+column generation: the linear program over all configurations is solved with a knapsack that
+prices new ones, its counts are rounded down, and what is left is filled greedily. Since few
+sizes cost room by rounding, a greedy choice of configurations of many sizes is made as well, and
+the plan with fewer sequences is taken. Then the actual lengths take the places of the rounded ones, and small pieces are
 put into the fullest sequences that still hold them (best fit, longest first).
 
 All of this works on runs of equal sequences, not on single ones, so time and memory on
@@ -73,19 +75,9 @@ def group_lengths(counts: dict[int, int], groups: int) -> list[list[tuple[int, i
     return merged
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 512, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
-    """Places for all pieces: (length, first rank, number, first sequence, offset).
-
-    The pieces of a length with ranks ``first rank`` .. + ``number`` go to successive
-    sequences from ``first sequence``, each at ``offset``. Sequences are numbered from 0.
-    """
-    small = capacity // 5 if small is None else small
-    counts = {length: n for length, n in counts.items() if n > 0}
-    grouped = group_lengths({a: n for a, n in counts.items() if a > small}, groups)
-    sizes, left = [g[0][0] for g in grouped], [sum(n for _, n in g) for g in grouped]
-
-    # Configurations of rounded sizes, each with the number of sequences that use it.
-    shapes: list[tuple[list[int], int]] = []
+def greedy(sizes: list[int], left: list[int], capacity: int) -> list[tuple[list[int], int]]:
+    """Configurations one after another: the fullest that holds the largest size left, as often as the counts allow."""
+    left, shapes = list(left), []
     for k in range(len(sizes)):
         while left[k]:
             left[k] -= 1
@@ -97,6 +89,91 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 512, small: int |
             shapes.append((use, times))
             for i, u in enumerate(use):
                 left[i] -= u * times
+    return shapes
+
+
+def priciest(sizes: list[int], prices, capacity: int) -> list[int]:
+    """The configuration of the greatest price, by an unbounded knapsack over the capacity."""
+    import numpy as np
+
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for k, size in enumerate(sizes):
+        if prices[k] <= 0:
+            continue
+        for _ in range(capacity // size):
+            new = best[:-size] + prices[k]
+            better = np.flatnonzero(new > best[size:] + 1e-12)
+            if not len(better):
+                break
+            best[size + better], last[size + better] = new[better], k
+    # Walk back with the prices: a size fits at a sum if the sum before it had the rest of the price.
+    use, at = [0] * len(sizes), int(best.argmax())
+    while last[at] >= 0:
+        k = last[at]
+        use[k] += 1
+        at -= sizes[k]
+    return use
+
+
+def column_generation(sizes: list[int], counts: list[int], capacity: int, rounds: int = 600) -> list[tuple[list[int], int]]:
+    """Configurations of few sizes: the linear program's, rounded down, and greedy ones for what is left.
+
+    The revised simplex method over configurations: a basis of as many configurations as sizes,
+    the sizes' prices from it, and the priciest configuration as the next to enter.
+    """
+    import numpy as np
+
+    m = len(sizes)
+    if not m:
+        return []
+    need = np.array(counts, float)
+    basis = np.diag([float(capacity // s) for s in sizes])
+    for _ in range(rounds):
+        prices = np.linalg.solve(basis.T, np.ones(m))
+        use = np.array(priciest(sizes, prices, capacity), float)
+        if use @ prices <= 1 + 1e-7:
+            break
+        amounts, direction = np.linalg.solve(basis, need), np.linalg.solve(basis, use)
+        ratio = np.where(direction > 1e-9, amounts / np.where(direction > 1e-9, direction, 1), np.inf)
+        basis[:, int(ratio.argmin())] = use
+    amounts = np.floor(np.maximum(np.linalg.solve(basis, need), 0) + 1e-9).astype(int)
+    left, shapes = list(counts), []
+    for j, times in enumerate(amounts.tolist()):
+        use = [int(u) for u in basis[:, j].round()]
+        times = min([times, *(left[i] // u for i, u in enumerate(use) if u)])
+        if times:
+            shapes.append((use, times))
+            for i, u in enumerate(use):
+                left[i] -= u * times
+    return shapes + greedy(sizes, left, capacity)
+
+
+#: Groups of large lengths for column generation, and for the greedy choice.
+FEW, MANY = 48, 512
+
+
+def plan(counts: dict[int, int], capacity: int, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
+    """Places for all pieces: (length, first rank, number, first sequence, offset).
+
+    The pieces of a length with ranks ``first rank`` .. + ``number`` go to successive
+    sequences from ``first sequence``, each at ``offset``. Sequences are numbered from 0. The
+    plan has at most a few runs for each length and configuration, however many pieces there are.
+    """
+    made = [planned(counts, capacity, FEW, small, column_generation), planned(counts, capacity, MANY, small, greedy)]
+    return min(made, key=sequences)
+
+
+def sequences(places: list[tuple[int, int, int, int, int]]) -> int:
+    return max((first + times for _, _, times, first, _ in places), default=0)
+
+
+def planned(counts: dict[int, int], capacity: int, groups: int, small: int | None, solve) -> list[tuple[int, int, int, int, int]]:
+    small = capacity // 5 if small is None else small
+    counts = {length: n for length, n in counts.items() if n > 0}
+    grouped = group_lengths({a: n for a, n in counts.items() if a > small}, groups)
+    sizes, left = [g[0][0] for g in grouped], [sum(n for _, n in g) for g in grouped]
+    # Configurations of rounded sizes, each with the number of sequences that use it.
+    shapes = solve(sizes, left, capacity)
 
     # Actual lengths for the rounded ones. A run is (room left, slots, sequences).
     queue = [list(reversed(g)) for g in grouped]  # the longest at the end

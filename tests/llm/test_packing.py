@@ -36,13 +36,47 @@ def check_plan(counts, places, capacity):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 def test_every_plan_is_valid(counts):
-    n = check_plan(counts, packing.plan(counts, 64, groups=5), 64)
+    for groups, solve in ((5, packing.column_generation), (5, packing.greedy), (40, packing.column_generation)):
+        check_plan(counts, packing.planned(counts, 64, groups, None, solve), 64)
+    n = check_plan(counts, packing.plan(counts, 64), 64)
     least = -(-sum(a * b for a, b in counts.items()) // 64)
     assert n >= least
     # no two sequences can both be at most half full
     assert n <= 2 * least + 1
 
 
+def test_column_generation_solves_the_program():
+    """Against all configurations: the rounded result is within one sequence a size of the least."""
+    from itertools import product
+
+    rng = random.Random(3)
+    for _ in range(20):
+        sizes = sorted(rng.sample(range(15, 60), 4), reverse=True)
+        counts = [rng.randint(1, 400) for _ in sizes]
+        shapes = packing.column_generation(sizes, counts, 100)
+        assert [sum(u[i] * t for u, t in shapes) for i in range(4)] == counts
+        assert all(sum(a * b for a, b in zip(u, sizes, strict=True)) <= 100 for u, _ in shapes)
+        every = [c for c in product(range(7), repeat=4) if sum(a * b for a, b in zip(c, sizes, strict=True)) <= 100]
+        # Weak duality, by prices that no configuration exceeds: a bound from below of any packing.
+        best = 0.0
+        for _ in range(400):
+            y = np.array([rng.random() * s for s in sizes])
+            best = max(best, float(y @ counts) / max(float(y @ c) for c in every))
+        n = sum(t for _, t in shapes)
+        assert best <= n + 1e-9
+        # Prices in proportion to sizes are one such bound; the program's optimum lies between.
+        use = packing.priciest(sizes, y, 100)
+        assert abs(float(y @ use) - max(float(y @ c) for c in every)) < 1e-9
+
+
+def test_the_plan_is_bounded_whatever_the_corpus():
+    """Segments that are broadcast: their number hardly grows at a thousand times the pieces, and has a bound."""
+    rng = np.random.default_rng(5)
+    counts = {int(a): int(b) for a, b in zip(*np.unique(np.clip(rng.lognormal(6, 1.2, 50_000).astype(int), 1, 2048), return_counts=True), strict=True)}
+    sizes = [len(packing.plan({a: b * k + k // 2 for a, b in counts.items()}, 2048)) for k in (1, 30, 1000)]
+    assert sizes[2] < 3 * sizes[0] and max(sizes) < 40 * 2048
+
+
 def test_close_to_the_bound_and_independent_of_scale():
     rng = np.random.default_rng(0)
     x = np.clip(rng.lognormal(6.2, 1.0, 200_000).astype(int), 1, 2048)
