@@ -67,6 +67,29 @@ def pix2ang_ring(pix: np.ndarray, nside: int) -> tuple[np.ndarray, np.ndarray]:
     return np.degrees(phi), np.degrees(np.arcsin(z))
 
 
+def pixel_centers(pix: Column, nside: int) -> tuple[Column, Column]:
+    """As :func:`pix2ang_ring`, as columns; null outside the sphere's pixels."""
+    check_nside(nside)
+    total, cap, n = 12 * nside * nside, 2 * nside * (nside - 1), float(nside)
+    south = pix >= total - cap
+    p = F.when(south, F.lit(total - 1) - pix).otherwise(pix)
+    # The ring of a cap: the greatest i with 2 i (i - 1) <= p, one step either way for the root's rounding.
+    i = F.floor((1 + F.floor(F.sqrt(1 + 2.0 * p + 1e-9))) / 2)
+    i = F.when(2 * i * (i - 1) > p, i - 1).when(2 * i * (i + 1) <= p, i + 1).otherwise(i)
+    j = p - 2 * i * (i - 1)
+    j = F.when(south, 4 * i - 1 - j).otherwise(j)
+    cap_z = (1 - i * i / (3.0 * n * n)) * F.when(south, -1.0).otherwise(1.0)
+    cap_phi = (j + 0.5) * math.pi / (2 * i)
+    e = pix - cap
+    ring, place = F.floor(e / (4 * nside)) + nside, F.pmod(e, F.lit(4 * nside))
+    belt_z = (2 * nside - ring) * 2.0 / (3 * nside)
+    belt_phi = (place + F.when(F.pmod(ring + nside, F.lit(2)) == 0, 0.5).otherwise(0.0)) * math.pi / (2 * nside)
+    polar = (pix < cap) | south
+    z, phi = F.when(polar, cap_z).otherwise(belt_z), F.when(polar, cap_phi).otherwise(belt_phi)
+    good = (pix >= 0) & (pix < total)
+    return F.when(good, F.degrees(phi)), F.when(good, F.degrees(F.asin(z)))
+
+
 def separation(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Angular separation in degrees by the haversine formula."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.numeric import require
 from skyloom.functions.sky import ang2pix_ring, separation
-from skyloom.sources.shared import materialize
+from skyloom.sources.shared import discard, materialize
 
 #: Zero point of the merged magnitudes; bands are independent, so any would do.
 ZERO_POINT = 14.0
@@ -30,6 +30,13 @@ class BlendConfig:
     nside: int = 128
     bands: Sequence[str] = tuple(f"mag_{b}_lsst" for b in "ugrizy")
     ref_band: str = "mag_i_lsst"
+    #: Whether size and shape are to be matched too. Declared, as in the surveyed interface, where matching isn't defined yet.
+    match_size: bool = False
+    match_shape: bool = False
+    obj_size: str = "obj_size"
+    shape_a: str = "semi_major"
+    shape_b: str = "semi_minor"
+    shape_theta: str = "orientation"
     redshift: str = "redshift"
 
     def validate(self) -> BlendConfig:
@@ -37,8 +44,17 @@ class BlendConfig:
             raise ValueError("linking_length must be positive")
         if self.ref_band not in self.bands:
             raise ValueError("ref_band must be one of bands")
+        for flag in ("match_size", "match_shape"):
+            if not isinstance(getattr(self, flag), bool):
+                raise TypeError(f"{flag} must be a bool")
         return self
 
+    @property
+    def matched(self) -> list[str]:
+        """Columns that must be there for what is to be matched."""
+        shape = [self.shape_a, self.shape_b, self.shape_theta]
+        return ([self.obj_size] if self.match_size else []) + (shape if self.match_shape else [])
+
 
 def close_pairs(df: DataFrame, cfg: BlendConfig) -> DataFrame:
     """(a, b), a < b: pairs at most the linking length apart.
@@ -83,6 +99,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialize(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("id"), "l"), "labels")
+    written = labels
     while True:
         around = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("l").alias("m"))
         hooked = labels.join(around, F.col("id") == F.col("a")).select("id", "l", F.least("l", "m").alias("m"))
@@ -91,17 +108,35 @@ def components(edges: DataFrame) -> DataFrame:
             hooked.join(up, F.col("m") == F.col("p")).select("id", F.col("l").alias("was"), F.least("m", "up").alias("l")), "labels"
         )
         changed = new.where("l < was").limit(1).count()
-        labels = new.select("id", "l")
+        discard(written)
+        labels, written = new.select("id", "l"), new
         if not changed:
+            discard(both)
             return labels.withColumnRenamed("l", "group_id")
 
 
 def friends_of_friends(df: DataFrame, cfg: BlendConfig = BlendConfig()) -> DataFrame:
-    """row id and group_id (the least row id of the group) of every row; a lone row is its own group."""
+    """row id and group_id (the least row id of the group) of every row; a lone row is its own group.
+
+    Rows at one position are one point with the least of their ids, so many rows at one place
+    (a default position, a catalog twice) make no pairs. Rows without a position are alone.
+    """
     cfg.validate()
-    require(df, [cfg.row_id, cfg.ra, cfg.dec])
-    groups = components(close_pairs(df, cfg)).withColumnRenamed("id", cfg.row_id)
-    return df.select(cfg.row_id).join(groups, cfg.row_id, "left").withColumn("group_id", F.coalesce("group_id", cfg.row_id))
+    require(df, [cfg.row_id, cfg.ra, cfg.dec, *cfg.matched])
+    ra, dec = F.col(cfg.ra).cast("double"), F.col(cfg.dec).cast("double")
+    placed = df.select(
+        F.col(cfg.row_id).alias("__id"),
+        # 0 and -0 are one place
+        (F.pmod(ra, F.lit(360.0)) + 0.0).alias("__ra"),
+        (dec + 0.0).alias("__dec"),
+        F.coalesce(~F.isnan(ra) & ~F.isnan(dec) & (F.abs(dec) <= 90) & (F.abs(ra) < F.lit(float("inf"))), F.lit(False)).alias("__ok"),
+    )
+    points = materialize(placed.where("__ok").groupBy("__ra", "__dec").agg(F.min("__id").alias("__point")), "points")
+    edges = close_pairs(points.select(F.col("__point").alias(cfg.row_id), F.col("__ra").alias(cfg.ra), F.col("__dec").alias(cfg.dec)), cfg)
+    groups = components(edges).select(F.col("id").alias("__point"), "group_id")
+    grouped = points.join(groups, "__point", "left").select("__ra", "__dec", F.coalesce("group_id", "__point").alias("__group"))
+    with_group = placed.where("__ok").join(grouped, ["__ra", "__dec"]).select(F.col("__id").alias(cfg.row_id), F.col("__group").alias("group_id"))
+    return with_group.union(placed.where("not __ok").select(F.col("__id").alias(cfg.row_id), F.col("__id").alias("group_id")))
 
 
 def merge_groups(df: DataFrame, groups: DataFrame, cfg: BlendConfig = BlendConfig()) -> DataFrame:

@@ -42,9 +42,21 @@ class ErrorParams:
     #: Depth of one visit, five standard deviations.
     m5: dict[str, float] = field(default_factory=dict)
     sigma_sys: float = 0.005
-    #: Fainter than so many standard deviations is a non-detection, given as ``nd_value``.
+    #: Fainter than so many standard deviations is a non-detection.
     sigma_limit: float = 0.0
+    #: Non-detections get ``nd_value`` ("flag"), or the magnitude and error at the limit ("limit").
+    nd_mode: str = "flag"
     nd_value: float = INF
+    #: Take the absolute value of a negative flux.
+    abs_flux: bool = False
+    #: Errors belong to the noisy magnitudes; else to the true ones.
+    decorrelate: bool = True
+    #: The approximation for high signals: noise is normal in magnitudes, and its width is the error.
+    high_snr: bool = False
+    #: Factors of the bands' errors.
+    scale: dict[str, float] = field(default_factory=dict)
+    #: Where error columns stand: "after" their magnitude, at the "end", or "alone", with no other column but the row id.
+    err_place: str = "end"
     extended: str = "point"  # or "auto", "gaap"
     major: str = "major"
     minor: str = "minor"
@@ -56,6 +68,14 @@ class ErrorParams:
     def validate(self) -> ErrorParams:
         if self.extended not in ("point", "auto", "gaap"):
             raise ValueError("extended must be 'point', 'auto' or 'gaap'")
+        if self.nd_mode not in ("flag", "limit"):
+            raise ValueError("nd_mode must be 'flag' or 'limit'")
+        if self.nd_mode == "limit" and self.sigma_limit <= 0:
+            raise ValueError("nd_mode 'limit' needs a positive sigma_limit")
+        if self.err_place not in ("after", "end", "alone"):
+            raise ValueError("err_place must be 'after', 'end' or 'alone'")
+        if any(x < 0 for x in self.scale.values()):
+            raise ValueError("scale must not be negative")
         for name in ("visits_per_year", "gamma", "theta"):
             if missing := set(self.bands) - set(getattr(self, name)):
                 raise ValueError(f"{name} lacks bands {sorted(missing)}")
@@ -84,8 +104,10 @@ def _depths(bands: tuple[str, ...], m5: tuple[float, ...], theta: tuple[float, .
     )
 
 
-# Depths of point sources at five standard deviations as the missions announced them. They are
-# starting values: give measured ones in their place.
+# Examples of depths of point sources at five standard deviations, near what the missions have announced, and
+# none of a certain release: the wide, deep and ultra-deep Roman presets are one magnitude less and one and two more
+# than Roman's own by assumption, Euclid's deep one two more. Give the depths of a release in their place, with
+# ``preset`` or ``register_model``.
 ROMAN, EUCLID = ("Y", "J", "H", "F"), ("Y", "J", "H")
 ROMAN_THETA, EUCLID_THETA = (0.14, 0.17, 0.21, 0.25), (0.53, 0.54, 0.55)
 PRESETS: dict[str, ErrorParams] = {
@@ -101,6 +123,11 @@ PRESETS: dict[str, ErrorParams] = {
 }
 
 
+def register_model(name: str, params: ErrorParams) -> None:
+    """Add an error model of your own, or replace one, by name."""
+    PRESETS[name] = params.validate()
+
+
 def preset(name: str, **overrides) -> ErrorParams:
     if name not in PRESETS:
         raise ValueError(f"no error model {name}; there are {', '.join(PRESETS)}")
@@ -148,10 +175,26 @@ def noise_to_signal(x: Column, gamma: Condition, p: ErrorParams, area: Column |
     random = x * ((0.04 - g) + g * x)
     if area is not None:
         random = random * area
-    floor = math.pow(10.0, p.sigma_sys / 2.5) - 1.0
+    floor = p.sigma_sys if p.high_snr else math.pow(10.0, p.sigma_sys / 2.5) - 1.0
     return F.sqrt(random + floor * floor)
 
 
+def error_of(nsr: Column, p: ErrorParams) -> Column:
+    """The magnitude error of a noise-to-signal ratio."""
+    return nsr if p.high_snr else 2.5 * F.log10(1.0 + nsr)
+
+
+def limiting(p: ErrorParams, band: str, depth: Column, gamma: Condition, scale: float) -> tuple[Column, Column]:
+    """Magnitude and error at ``sigma_limit`` standard deviations of a point source, without the systematic floor.
+
+    With r = 1 / (sigma_limit x scale), x solves (0.04 - gamma) x + gamma x^2 = r^2.
+    """
+    g, r = _lit(gamma), 1.0 / p.sigma_limit / max(scale, 1e-300)
+    linear = F.lit(0.04) - g
+    x = F.when(g > 0, (-linear + F.sqrt(linear * linear + 4.0 * g * r * r)) / (2.0 * g)).otherwise(r * r / linear)
+    return depth + 2.5 * F.log10(x), error_of(F.lit(1.0 / p.sigma_limit), p)
+
+
 def area_ratio(p: ErrorParams, theta: Condition) -> Column | None:
     """Aperture area over PSF area of an extended source; None for point sources.
 
@@ -176,12 +219,13 @@ def area_ratio(p: ErrorParams, theta: Condition) -> Column | None:
 def add_errors(
     df: DataFrame, p: ErrorParams, conditions: dict[str, dict[str, Condition]] | None = None, noiseless: bool = False
 ) -> DataFrame:
-    """Replace every band's magnitude by a noisy one and append ``<magnitude>_err``.
+    """Replace every band's magnitude by a noisy one and add ``<magnitude>_err``.
 
     The noise is normal in flux; a flux that isn't positive, and a signal under the limit, is a
     non-detection. Errors belong to the noisy magnitudes. With ``noiseless``, magnitudes stay and
     errors are the expected ones. ``conditions`` has a number or column for a band's m5,
-    nVisYr, nYrObs, gamma, msky, theta, km, tvis or airmass.
+    nVisYr, nYrObs, gamma, msky, theta, km, tvis or airmass. The fields of :class:`ErrorParams`
+    change each of these.
     """
     p.validate()
     require(df, [p.row_id, *[p.mag(b) for b in p.bands]])
@@ -194,23 +238,47 @@ def add_errors(
 
     def nsr(b: str) -> Column:
         o = bands[b][1]
-        return noise_to_signal(F.col(f"__x_{b}"), o.get("gamma", p.gamma[b]), p, area_ratio(p, o.get("theta", p.theta[b])))
+        own = noise_to_signal(F.col(f"__x_{b}"), o.get("gamma", p.gamma[b]), p, area_ratio(p, o.get("theta", p.theta[b])))
+        return own * float(p.scale[b]) if b in p.scale else own
+
+    def observed(b: str, m: str) -> Column:
+        noise = normal(F.col(p.row_id), p.seed, f"err.{m}")
+        return F.col(m) + nsr(b) * noise if p.high_snr else 1.0 + nsr(b) * noise
 
     out = ratios(df)
     if not noiseless:
-        out = out.withColumns(
-            {f"__seen_{b}": 1.0 + nsr(b) * normal(F.col(p.row_id), p.seed, f"err.{m}") for b, (m, _) in bands.items()}
-        )
-        out = out.withColumns(
-            {m: F.when(F.col(f"__seen_{b}") > 0, F.col(m) - 2.5 * F.log10(F.col(f"__seen_{b}"))).otherwise(nd) for b, (m, _) in bands.items()}
-        )
-        out = ratios(out)
-    out = out.withColumns({f"{m}_err": 2.5 * F.log10(1.0 + nsr(b)) for b, (m, _) in bands.items()})
+        out = out.withColumns({f"__seen_{b}": observed(b, m) for b, (m, _) in bands.items()})
+        if not p.decorrelate:  # before the magnitudes change
+            out = out.withColumns({f"{m}_err": error_of(nsr(b), p) for b, (m, _) in bands.items()})
+
+        def magnitude(b: str, m: str) -> Column:
+            seen = F.col(f"__seen_{b}")
+            if p.high_snr:
+                return seen
+            flux = F.abs(seen) if p.abs_flux else seen
+            return F.when(flux > 0, F.col(m) - 2.5 * F.log10(flux)).otherwise(nd)
+
+        out = out.withColumns({m: magnitude(b, m) for b, (m, _) in bands.items()})
+        if p.decorrelate:
+            out = ratios(out)
+    if noiseless or p.decorrelate:
+        out = out.withColumns({f"{m}_err": error_of(nsr(b), p) for b, (m, _) in bands.items()})
     flags = {}
-    for m, _ in bands.values():
+    for b, (m, o) in bands.items():
         lost = ~(F.abs(F.col(m)) < F.lit(INF)) | F.isnan(F.col(m))
+        mag, err = nd, nd
         if p.sigma_limit > 0:
-            lost = lost | (F.col(f"{m}_err") > 2.5 * math.log10(1 + 1 / p.sigma_limit))
-        flags[m] = F.when(lost, nd).otherwise(F.col(m))
-        flags[f"{m}_err"] = F.when(lost, nd).otherwise(F.col(f"{m}_err"))
-    return out.withColumns(flags).drop(*[f"__{k}_{b}" for b in bands for k in ("x", "seen")])
+            lost = lost | (F.col(f"{m}_err") > (1 / p.sigma_limit if p.high_snr else 2.5 * math.log10(1 + 1 / p.sigma_limit)))
+            if p.nd_mode == "limit":
+                mag, err = limiting(p, b, coadd_depth(p, b, o), o.get("gamma", p.gamma[b]), p.scale.get(b, 1.0))
+        flags[m] = F.when(lost, mag).otherwise(F.col(m))
+        flags[f"{m}_err"] = F.when(lost, err).otherwise(F.col(f"{m}_err"))
+    out = out.withColumns(flags)
+    errors = [f"{m}_err" for m, _ in bands.values()]
+    own = [c for c in df.columns if c not in errors]
+    if p.err_place == "alone":
+        return out.select(p.row_id, *errors)
+    if p.err_place == "after":
+        mags = {m for m, _ in bands.values()}
+        return out.select(*[x for c in own for x in ((c, f"{c}_err") if c in mags else (c,))])
+    return out.select(*own, *errors)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,9 +201,8 @@ def igm_extinction(df: DataFrame, cfg: IGMConfig) -> DataFrame:
         out[np.isnan(z)] = np.nan
         return out
 
-    def shifts(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    @F.pandas_udf("u double, g double")
+    def shifts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for z, u, g in batches:
             parts = []
             for a in range(0, len(z), 2048):  # bounds the (rows, wavelengths) arrays
@@ -212,6 +212,5 @@ def igm_extinction(df: DataFrame, cfg: IGMConfig) -> DataFrame:
                 parts.append(pd.DataFrame({"u": magnitude_shift(w, tu, t, beta), "g": magnitude_shift(w, tg, t, beta)}))
             yield pd.concat(parts) if parts else pd.DataFrame({"u": [], "g": []}, dtype=float)
 
-    udf = F.pandas_udf(shifts, "u double, g double", functionType=F.PandasUDFType.SCALAR_ITER)
-    d = df.withColumn("__shift", udf(cfg.redshift, band_u, band_g))
+    d = df.withColumn("__shift", shifts(cfg.redshift, band_u, band_g))
     return d.withColumns({band_u: F.col(band_u) + F.col("__shift.u"), band_g: F.col(band_g) + F.col("__shift.g")}).drop("__shift")

@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyloom.functions.draws import uniform
 from skyloom.functions.dust import A_OVER_EBV
-from skyloom.functions.sky import ang2pix_ring, check_nside, pix2ang_ring
+from skyloom.functions.sky import ang2pix_ring, check_nside, pixel_centers
 from skyloom.operators.errors import ErrorParams, add_errors
 
 SHARED = ("airmass", "tvis", "EBV")
 BY_BAND = ("m5", "nVisYr", "gamma", "msky", "theta", "km")
 OUTSIDE = -99
+#: Pixels in a part of the sky when weights are cumulated: a map of 805 million pixels has 12,288 parts.
+PART_PIXELS = 65_536
 
 #: A map: a number for the whole footprint, or a table (pixel, value).
 Map = float | DataFrame
@@ -86,7 +88,8 @@ def assign_pixels(df: DataFrame, cfg: ObsConditions) -> DataFrame:
     """Add ``pixel``: that of the position, or -99 outside the footprint.
 
     Without positions, a pixel is drawn by weight, and ``ra`` and ``decl`` are its center. The
-    table of cumulated weights has a row a pixel; draws meet it through equal slices of [0, 1).
+    table of cumulated weights has a row a pixel and stays a table: draws meet it through equal
+    slices of [0, 1), and Spark decides by its size whether to broadcast it.
     """
     if cfg.ra in df.columns and cfg.dec in df.columns:
         inside = footprint(cfg).withColumn("__in", F.lit(True))
@@ -99,31 +102,39 @@ def assign_pixels(df: DataFrame, cfg: ObsConditions) -> DataFrame:
         pixels = pixels.join(own, "pixel", "left").select("pixel", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)).alias("w"))
     else:
         pixels = pixels.withColumn("w", F.lit(1.0))
-    # On the driver: a map has 12 nside^2 pixels at most.
-    rows = pixels.orderBy("pixel").toPandas()
-    if not len(rows) or rows["w"].sum() <= 0:
+    # Weights are cumulated in parts of the sky: inside a part by a window, and over the parts' sums.
+    parts = pixels.withColumn("part", F.floor(F.col("pixel") / PART_PIXELS))
+    sums = parts.groupBy("part").agg(F.sum("w").alias("own"), F.count(F.lit(1)).alias("n"))
+    total = sums.agg(F.sum("own").alias("w"), F.sum("n").alias("n")).first()
+    if not total["w"] or total["w"] <= 0:
         raise ValueError("no pixel of the footprint has a positive weight")
-    upper = np.cumsum(rows["w"].to_numpy()) / rows["w"].sum()
-    upper[-1] = 1.0
-    lower = np.concatenate(([0.0], upper[:-1]))
-    lon, lat = pix2ang_ring(rows["pixel"].to_numpy(), cfg.nside)
-    slices = max(1, min(len(rows), 4096))
-    table = df.sparkSession.createDataFrame(
-        [
-            (int(p), float(a), float(b), float(x), float(y))
-            for p, a, b, x, y in zip(rows["pixel"], lower, upper, lon, lat, strict=True)
-            if b > a
-        ],
-        "pixel long, __lo double, __hi double, ra double, decl double",
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.lead("part").over(Window.orderBy("part")).isNull()
+    shifts = sums.select(
+        "part",
+        F.coalesce(F.sum("own").over(before), F.lit(0.0)).alias("from"),
+        F.when(last, F.lit(2.0 * total["w"])).otherwise(F.sum("own").over(upto)).alias("to"),
     )
-    spread = table.withColumn(
+    inside = Window.partitionBy("part").orderBy("pixel")
+    start = F.col("from") + F.coalesce(F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = parts.where("w > 0").join(shifts, "part").withColumn("start", start)
+    # Each pixel's share of [0, 1) goes up to the next one's, so shares leave no gap.
+    stop = F.coalesce(F.lead("start").over(inside), F.col("to"))
+    lon, lat = pixel_centers(F.col("pixel"), cfg.nside)
+    shares = starts.withColumn("stop", stop).select(
+        "pixel", (F.col("start") / total["w"]).alias("__lo"), (F.col("stop") / total["w"]).alias("__hi"), lon.alias("ra"), lat.alias("decl")
+    )
+    # About as many slices as pixels: a slice meets few pixels, however fine the map.
+    slices = int(total["n"])
+    spread = shares.withColumn(
         "__slice",
-        F.explode(F.sequence(F.floor(F.col("__lo") * slices), F.least(F.ceil(F.col("__hi") * slices) - 1, F.lit(slices - 1)))),
+        F.explode(F.sequence(F.floor(F.col("__lo") * slices), F.least(F.floor(F.col("__hi") * slices), F.lit(slices - 1)))),
     )
     u = uniform(F.col(cfg.params.row_id), cfg.seed, "pixel")
     drawn = df.drop("ra", "decl").withColumn("__u", u).withColumn("__slice", F.floor(F.col("__u") * slices))
     own = [c for c in df.columns if c not in ("ra", "decl")]
-    joined = drawn.join(F.broadcast(spread), "__slice").where((F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi")))
+    joined = drawn.join(spread, "__slice").where((F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi")))
     return joined.select(*own, "ra", "decl", "pixel")
 
 

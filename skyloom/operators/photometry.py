@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,39 +84,89 @@ def flux_to_mag(
     return df.select(*out, *[F.col(old).alias(new) for new, old in (copy_cols or {}).items()])
 
 
+#: Parts that a range of values is counted in, and values that are put in order at last.
+MEDIAN_PARTS, MEDIAN_ROWS = 4096, 20_000
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> list[float | None]:
+    """Exact medians (of an even number: the mean of the middle two), without null and NaN; None without values.
+
+    All columns are narrowed down together: their values are counted in equal parts of a range,
+    then only the part with the middle is looked at, until it has few values. The driver gets
+    MEDIAN_PARTS counts or MEDIAN_ROWS values a column, no task more than its share of rows.
+    """
+    value = lambda c: F.col(c).cast("double")
+    big = F.lit(1.7976931348623157e308)  # infinite values count as the largest numbers while narrowing down
+    inside = lambda c: F.greatest(F.least(value(c), big), -big)
+    usable = lambda c: value(c).isNotNull() & ~F.isnan(value(c))
+    stats = df.agg(
+        *[f(F.when(usable(c), x)).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f, x in (("n", F.count, F.lit(1)), ("lo", F.min, inside(c)), ("hi", F.max, inside(c)))]
+    ).first()
+    # Of each column: the range that holds the middle, the values below it, and those in it.
+    state = {k: [stats[f"lo{k}"], stats[f"hi{k}"], 0, stats[f"n{k}"]] for k in range(len(columns)) if stats[f"n{k}"]}
+    out: list[float | None] = [None] * len(columns)
+
+    def exploded(make) -> DataFrame:
+        found = [F.when(usable(columns[k]) & inside(columns[k]).between(lo, hi), make(k, lo, hi)) for k, (lo, hi, _, _) in state.items()]
+        return df.select(F.explode(F.array(*found)).alias("x")).where("x is not null").select("x.*")
+
+    while state:
+        for k, (lo, hi, _, _) in list(state.items()):
+            if lo == hi:
+                out[k] = float("inf") * math.copysign(1, lo) if abs(lo) == 1.7976931348623157e308 else lo
+                del state[k]
+        if not state:
+            break
+        if all(m <= MEDIAN_ROWS for _, _, _, m in state.values()):
+            rows = exploded(lambda k, lo, hi: F.struct(F.lit(k).alias("k"), value(columns[k]).alias("v"))).toArrow()
+            ks, vs = rows["k"].to_numpy(), rows["v"].to_numpy()
+            for k, (_, _, below, _) in state.items():
+                own, n = np.sort(vs[ks == k]), stats[f"n{k}"]
+                out[k] = float((own[(n - 1) // 2 - below] + own[n // 2 - below]) / 2)
+            break
+
+        def part(k, lo, hi):
+            at = F.floor((inside(columns[k]) / 2 - lo / 2) / (hi / 2 - lo / 2) * MEDIAN_PARTS)
+            return F.struct(F.lit(k).alias("k"), F.least(at, F.lit(MEDIAN_PARTS - 1)).alias("p"), inside(columns[k]).alias("v"))
+
+        counts = exploded(part).groupBy("k", "p").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for k, rows in groupby(counts.orderBy("k", "p").collect(), key=lambda r: r["k"]):
+            n, (_, _, below, _), kept = stats[f"n{k}"], state[k], []
+            for r in rows:
+                # Of both middle ranks, parts from the first's to the second's stay.
+                if not kept and below + r["m"] <= (n - 1) // 2:
+                    below += r["m"]
+                elif not kept or below + sum(x["m"] for x in kept) <= n // 2:
+                    kept.append(r)
+            state[k] = [kept[0]["lo"], kept[-1]["hi"], below, sum(x["m"] for x in kept)]
+            if len(kept) == 2 and state[k][3] > MEDIAN_ROWS:
+                # The middle lies between two parts: it is their nearest values' mean.
+                out[k] = (kept[0]["hi"] + kept[1]["lo"]) / 2
+                del state[k]
+    return out
+
+
 def hyperbolic_smoothing(df: DataFrame, cols: FluxColumns = FluxColumns()) -> DataFrame:
     """One row a band: filter, field (0), zeropoint, ref_flux, median_flux_error, b_relative, b_absolute.
 
     The softening b is the median flux error over the reference flux, times sqrt(Pogson's
-    ratio) (Lupton et al. 1999). NaN errors are left out. One aggregation for all bands.
+    ratio) (Lupton et al. 1999). NaN errors are left out. The medians are found at once, in a
+    few scans for all bands; the table that is returned holds them as values.
     """
     cols.validate()
-    flux = as_fluxes(df, cols)
-    medians = flux.agg(
-        *[F.percentile(F.when(~F.isnan(F.col(e)), F.col(e)), 0.5).alias(f"m{k}") for k, e in enumerate(cols.errors)]
-    )
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(v).alias("filter"), F.lit(float(zp)).alias("zeropoint"), F.col(f"m{k}").alias("median_flux_error"))
-                for k, (v, zp) in enumerate(zip(cols.values, cols.zeros, strict=True))
-            ]
-        )
-    )
+    medians = exact_medians(as_fluxes(df, cols), cols.errors)
+    rows = [(v, float(zp), m) for v, zp, m in zip(cols.values, cols.zeros, medians, strict=True)]
+    table = df.sparkSession.createDataFrame(rows, "filter string, zeropoint double, median_flux_error double")
     ref = F.exp(F.col("zeropoint") / POGSON)
     b = math.sqrt(POGSON) * F.col("median_flux_error")
-    return (
-        medians.select(rows.alias("x"))
-        .select("x.*")
-        .select(
-            "filter",
-            F.lit(0).alias("field"),
-            "zeropoint",
-            ref.alias("ref_flux"),
-            "median_flux_error",
-            (b / ref).alias("b_relative"),
-            b.alias("b_absolute"),
-        )
+    return table.select(
+        "filter",
+        F.lit(0).alias("field"),
+        "zeropoint",
+        ref.alias("ref_flux"),
+        "median_flux_error",
+        (b / ref).alias("b_relative"),
+        b.alias("b_absolute"),
     )
 
 
@@ -124,18 +176,16 @@ def hyperbolic_magnitudes(
     """Hyperbolic magnitudes and errors, named by mag_ -> mag_hyp_, with a smoothing table.
 
     The table has a row a band and field; of a band's fields, the median b is taken. It is
-    pivoted into one row and broadcast: its size is the number of bands.
+    pivoted into one row and broadcast: its size is the number of bands. A band that it lacks
+    is an error when the plan runs; nothing runs before.
     """
     cols.validate()
-    found = {r["filter"] for r in smoothing.select("filter").distinct().collect()}
-    missing = sorted(set(cols.values) - found)
-    if missing:
-        raise KeyError(f"no smoothing parameters for: {', '.join(missing)}")
     aggs = []
     for k, v in enumerate(cols.values):
         own = F.col("filter") == v
         aggs.append(F.percentile(F.when(own & ~F.isnan("b_relative"), F.col("b_relative")), 0.5).alias(f"__b{k}"))
-        aggs.append(F.max(F.when(own, F.col("ref_flux"))).alias(f"__r{k}"))
+        missing = F.raise_error(F.lit(f"no smoothing parameters for: {v}"))
+        aggs.append(F.coalesce(F.max(F.when(own, F.col("ref_flux"))), missing.cast("double")).alias(f"__r{k}"))
     one = smoothing.agg(*aggs)
     require(df, [*cols.values, *cols.errors])
     flux = df.crossJoin(F.broadcast(one))  # one row

@@ -42,6 +42,8 @@ class SpecConfig:
     colnames: dict[str, str] = field(default_factory=lambda: dict(COLUMNS))
     nondetect_val: float = float("inf")
     downsample: bool = True
+    #: Count the selected rows at once, which takes a job, to warn if they are fewer than n_tot.
+    warn_if_fewer: bool = False
     n_tot: int = 10_000
     seed: int = 42
     percentile_cut: float = 100.0
@@ -250,7 +252,7 @@ def select(df: DataFrame, survey: str, cfg: SpecConfig = SpecConfig()) -> DataFr
     """The rows that a survey selects, or all rows with flag 0 or 1.
 
     With ``downsample``, exactly n_tot of the selected rows are drawn; if fewer are
-    selected, all of them stay and a warning says so.
+    selected, all of them stay, and with ``warn_if_fewer`` a warning says so.
     """
     cfg.validate()
     names = dict(cfg.colnames)
@@ -263,7 +265,7 @@ def select(df: DataFrame, survey: str, cfg: SpecConfig = SpecConfig()) -> DataFr
     keep = usable(df, cfg) & keep
     if cfg.downsample:
         chosen = chosen_ids(out.where(keep), cfg.row_id, cfg.n_tot, cfg.seed, "downsample")
-        if out.where(keep).limit(cfg.n_tot).count() < cfg.n_tot:
+        if cfg.warn_if_fewer and out.where(keep).limit(cfg.n_tot).count() < cfg.n_tot:
             warnings.warn(f"{survey}: fewer than {cfg.n_tot} rows are selected; all are kept", stacklevel=2)
         if cfg.drop_rows:
             return out.join(chosen, cfg.row_id, "left_semi").select(df.columns)

@@ -7,6 +7,7 @@ since engines differ in the last bits.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -21,6 +22,7 @@ from skyloom.operators import blending, degraders, errors, grid, igm, obscond, p
 from skyloom.plans import pipelines
 from skyloom.sources import catalogs, rates
 from skyloom.sources.catalog_view import catalog, catalog_sql, draw_sql
+from skyloom.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 BANDS = "ugrizy"
@@ -56,7 +58,7 @@ def r6(expr: str, name: str) -> str:
 
 # --- sources and photometry ---
 
-_SOURCE = ["redshift", *MAGS, "size_bulge_true", "size_disk_true"]
+_SOURCE = list(catalogs.DEFAULT_QUANTITIES)
 
 
 @query(
@@ -276,6 +278,19 @@ def lambda_effective_query(spark, d):
     return lambda_effective(t, by=["curve"]).select("curve", F.round("lambda_effective", 6).alias("lambda_effective"))
 
 
+@query(
+    "lambda_effective_file",
+    "SELECT round(sum((3000.0::DOUBLE + p_partkey) * p_size) / sum(p_size), 6) AS lambda_effective FROM part",
+)
+def lambda_effective_file(spark, d):
+    """The curve goes through a filter file: a text table with a comment, written to the shared folder."""
+    path = f"{shared_dir(spark)}/filter-{uuid.uuid4().hex}"
+    t = spark.read.parquet(f"{d}/part.parquet")
+    lines = t.select(F.concat_ws("  ", (3000.0 + F.col("p_partkey")).cast("string"), F.col("p_size").cast("string"), F.lit("# part")).alias("value"))
+    lines.write.text(path)
+    return lambda_effective(catalogs.filter_curve(spark, path)).select(F.round("lambda_effective", 6).alias("lambda_effective"))
+
+
 # --- selections ---
 
 g, r, i, z = "mag_g_lsst", "mag_r_lsst", "mag_i_lsst", "mag_z_lsst"
@@ -469,8 +484,8 @@ def grid_selection(spark, d):
 
 
 def normal_sql(stream: str, seed: int) -> str:
-    u1 = f"greatest({draw_sql(stream + '.a', seed)}, {2.0**-33!r}::DOUBLE)"
-    return f"(sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r}::DOUBLE * {draw_sql(stream + '.b', seed)}))"
+    u1 = f"greatest({draw_sql(stream, seed)}, {2.0**-33!r}::DOUBLE)"
+    return f"(sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r}::DOUBLE * {draw_sql(stream, seed, first=9)}))"
 
 
 def depth_of(p: errors.ErrorParams, b: str) -> float:
@@ -604,7 +619,30 @@ def scatter_core(spark, d):
     return rounded(scatter.scatter(catalog(spark, d, columns=["redshift", i]), "row_id", i, "redshift", tails=False), "photoz_mock")
 
 
-@query("scatter_full")
+def _scatter_full_sql() -> str:
+    """All draws of every row; the first inside the range, else the last one, clipped."""
+    m = scatter.KHOSTOVAN26
+    row = lambda t: "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in t) + "]"
+    table = lambda t: "[" + ", ".join(row(x) for x in t) + "]"
+    quantiles = "[" + ", ".join(
+        "[" + ", ".join(repr(x) for x in scatter.skew_t_quantiles(a, b)) + "]::DOUBLE[]" for a, b in zip(m.tail_a, m.tail_b, strict=True)
+    ) + "]"
+    k = "' || k || '"  # the number of the draw, inside of the stream's name
+    core, tail, kind = (f"scatter.{x}.{k}" for x in ("core", "tail", "kind"))
+    return (
+        f"WITH q AS (SELECT unnest([1, 2, 3, 4]) AS mb, unnest({quantiles}) AS t), "
+        f"p AS (SELECT mb, unnest(range(0, {scatter.QUANTILES})) AS place, unnest(t[1:{scatter.QUANTILES}]) AS low, unnest(t[2:{scatter.QUANTILES + 1}]) AS high FROM q), "
+        f"b AS (SELECT *, {_digit(i, m.mag_edges)} AS mb, {_digit('redshift', m.z_edges)} AS zb FROM {source('redshift', i)}), "
+        f"c AS (SELECT row_id, redshift, mb, k, {table(m.bias)}[mb][zb] + {table(m.sigma)}[mb][zb] * {normal_sql(core, 42)} AS core, "
+        f"{draw_sql(tail, 42)} * {scatter.QUANTILES} AS u, {draw_sql(kind, 42)} < {row(m.tail_share)}[mb] AS tail, "
+        f"{row(m.tail_loc)}[mb] AS loc, {row(m.tail_scale)}[mb] AS scale FROM b, range(0, {scatter.DRAWS}) r(k)), "
+        "d AS (SELECT row_id, k, redshift + CASE WHEN tail THEN loc + scale * (low + (high - low) * (u - floor(u))) ELSE core END AS x "
+        "FROM c JOIN p ON c.mb = p.mb AND floor(c.u)::BIGINT = p.place) "
+        f"SELECT row_id, round(coalesce(arg_min(x, k) FILTER (x BETWEEN 0 AND 6), least(6.0, greatest(0.0, arg_max(x, k)))), 6) AS photoz_mock FROM d GROUP BY row_id"
+    )
+
+
+@query("scatter_full", _scatter_full_sql())
 def scatter_full(spark, d):
     return rounded(scatter.scatter(catalog(spark, d, columns=["redshift", i]), "row_id", i, "redshift"), "photoz_mock")
 
@@ -615,8 +653,73 @@ def _igm(spark: SparkSession, d: str, **more) -> DataFrame:
     return rounded(igm.igm_extinction(c, cfg), "mag_u_lsst", g)
 
 
-query("igm_grid")(lambda spark, d: _igm(spark, d))
-query("igm_exact")(lambda spark, d: _igm(spark, d, interpolate=False))
+def _igm_tau_sql(redshifts: str) -> str:
+    """CTEs that end in tau (z, w, t): optical depths at the filters' wavelengths for the redshifts of a query."""
+    lines = ", ".join("(" + ", ".join(f"{float(v)!r}::DOUBLE" for v in row.split()) + ")" for row in igm.LINES.split("\n") if row)
+    forest = (
+        "CASE WHEN s < 2.2 AND y < s THEN 0.325 * (pow(y, 1.2) - pow(s, -0.9) * pow(y, 2.1)) "
+        "WHEN s >= 2.2 AND s < 5.7 AND y < 2.2 THEN 0.0255 * pow(s, 1.6) * pow(y, 2.1) + 0.325 * pow(y, 1.2) - 0.25 * pow(y, 2.1) "
+        "WHEN s >= 2.2 AND s < 5.7 AND y < s THEN 0.0255 * (pow(s, 1.6) * pow(y, 2.1) - pow(y, 3.7)) "
+        "WHEN s >= 5.7 AND y < 2.2 THEN 0.000522 * pow(s, 3.4) * pow(y, 2.1) + 0.325 * pow(y, 1.2) - 0.0314 * pow(y, 2.1) "
+        "WHEN s >= 5.7 AND y < 5.7 THEN 0.000522 * pow(s, 3.4) * pow(y, 2.1) + 0.218 * pow(y, 2.1) - 0.0255 * pow(y, 3.7) "
+        "WHEN s >= 5.7 AND y < s THEN 0.000522 * (pow(s, 3.4) * pow(y, 2.1) - pow(y, 5.5)) ELSE 0.0 END"
+    )
+    damped = (
+        "CASE WHEN s < 3 AND y < s THEN 0.211 * s * s - 0.0766 * pow(s, 2.3) * pow(y, -0.3) - 0.135 * y * y "
+        "WHEN s >= 3 AND y < 3 THEN 0.634 + 0.047 * pow(s, 3) - 0.0178 * pow(s, 3.3) * pow(y, -0.3) - 0.135 * y * y - 0.291 * pow(y, -0.3) "
+        "WHEN s >= 3 AND y < s THEN 0.047 * pow(s, 3) - 0.0178 * pow(s, 3.3) * pow(y, -0.3) - 0.0292 * pow(y, 3) ELSE 0.0 END"
+    )
+    # Below the wavelength of the (first) largest value, a continuum's depth is that value.
+    return (
+        f"ln AS (SELECT * FROM (VALUES {lines}) v(l, f1, f2, f3, d1, d2)), "
+        "ws AS (SELECT 3000.0::DOUBLE + 10 * k AS w FROM range(0, 301) r(k)), "
+        "zs AS (SELECT DISTINCT z, 1 + z AS s FROM (" + redshifts + ")), "
+        "te AS (SELECT w, w / l AS x, CASE WHEN w / l < 2.2 THEN f1 * pow(w / l, 1.2) WHEN w / l < 5.7 THEN f2 * pow(w / l, 3.7) ELSE f3 * pow(w / l, 5.5) END + "
+        "CASE WHEN w / l < 3 THEN d1 * pow(w / l, 2.0) ELSE d2 * pow(w / l, 3.0) END AS term FROM ws, ln WHERE w / l > 1), "
+        "cu AS (SELECT w, x, sum(term) OVER (PARTITION BY w ORDER BY x) AS total FROM te), "
+        f"co AS (SELECT z, s, w, {forest} AS f, {damped} AS d FROM (SELECT z, s, w, w / 911.8::DOUBLE AS y FROM zs, ws)), "
+        "tp AS (SELECT z, max(f) AS f, max(d) AS d FROM co GROUP BY z), "
+        "fw AS (SELECT co.z, min(w) FILTER (co.f = tp.f) AS wf, min(w) FILTER (co.d = tp.d) AS wd FROM co JOIN tp ON co.z = tp.z GROUP BY co.z), "
+        "li AS (SELECT zw.z, zw.w, coalesce(cu.total, 0.0) AS t FROM (SELECT z, s, w FROM zs, ws) zw "
+        "ASOF LEFT JOIN cu ON zw.w = cu.w AND zw.s > cu.x), "
+        "tau AS (SELECT co.z, co.w, li.t + CASE WHEN co.w < fw.wf THEN tp.f ELSE co.f END + CASE WHEN co.w < fw.wd THEN tp.d ELSE co.d END AS t "
+        "FROM co JOIN li ON co.z = li.z AND co.w = li.w JOIN tp ON co.z = tp.z JOIN fw ON co.z = fw.z)"
+    )
+
+
+def _igm_sql(interpolate: bool) -> str:
+    """Shares of a power-law spectrum that pass, summed over wavelengths, as magnitudes."""
+    (w, tu), (_, tg) = rates.FILTERS["u"], rates.FILTERS["g"]
+    ratio = -2.5 * math.log10(igm._mean_wavelength(w, tu) / igm._mean_wavelength(w, tg))
+    lo, hi, n = 1.5, 4.0, 100
+    cat = f"cat AS {source('redshift', 'mag_u_lsst', g)}, "
+    curve = lambda c, s: f"exp(-pow(w - {c}::DOUBLE, 2) / {2.0 * s * s!r}::DOUBLE)"
+    if interpolate:
+        step = f"(SELECT {lo}::DOUBLE + k * {(hi - lo) / (n - 1)!r}::DOUBLE AS z, k FROM range(0, {n}) r(k))"
+        start = f"WITH {cat} gr AS {step}, " + _igm_tau_sql("SELECT z FROM gr")
+        at = f"((redshift - {lo}::DOUBLE) / {hi - lo!r}::DOUBLE * {n - 1})"
+        rows = (
+            f"gt AS (SELECT k, w, exp(-t) AS p FROM tau JOIN gr ON tau.z = gr.z), "
+            f"ro AS (SELECT *, least(floor({at})::BIGINT, {n - 2}) AS k, {at} - least(floor({at})::BIGINT, {n - 2}) AS f FROM cat WHERE redshift >= {lo} AND redshift <= {hi}), "
+            "tr AS (SELECT row_id, a.w, a.p * (1 - f) + b.p * f AS p, beta FROM "
+            f"(SELECT *, (mag_u_lsst - {g}) / {ratio!r}::DOUBLE - 2 AS beta FROM ro) r JOIN gt a ON a.k = r.k JOIN gt b ON b.k = r.k + 1 AND b.w = a.w)"
+        )
+    else:
+        start = f"WITH {cat}" + _igm_tau_sql("SELECT redshift AS z FROM cat")
+        rows = (
+            "tr AS (SELECT row_id, w, exp(-t) AS p, beta FROM "
+            f"(SELECT *, (mag_u_lsst - {g}) / {ratio!r}::DOUBLE - 2 AS beta FROM cat) c JOIN tau ON tau.z = c.redshift)"
+        )
+    share = lambda c, s: f"sum(p * exp((beta + 1) * ln(w)) * {curve(c, s)}) / sum(exp((beta + 1) * ln(w)) * {curve(c, s)})"
+    shift = lambda c: f"CASE WHEN coalesce({c}, 0) > 0 THEN -2.5 * log10({c}) ELSE 'inf'::DOUBLE END"
+    return (
+        f"{start}, {rows}, sh AS (SELECT row_id, {share(3700.0, 200.0)} AS u, {share(4800.0, 350.0)} AS g FROM tr GROUP BY row_id) "
+        f"SELECT cat.row_id, round(mag_u_lsst + {shift('u')}, 6) AS mag_u_lsst, round({g} + {shift('g')}, 6) AS {g} FROM cat LEFT JOIN sh ON cat.row_id = sh.row_id"
+    )
+
+
+query("igm_grid", _igm_sql(True))(lambda spark, d: _igm(spark, d))
+query("igm_exact", _igm_sql(False))(lambda spark, d: _igm(spark, d, interpolate=False))
 
 
 # --- blending ---

@@ -25,6 +25,8 @@ FORMULAS = {
     "ellipticity": "0.95e0 * u(ell)",
     "size_bulge_true": "0.2e0 + u(sb)",
     "size_disk_true": "0.4e0 + 1.5e0 * u(sd)",
+    "size_true": "0.3e0 + 2.0e0 * u(st)",
+    "size_minor_true": "size_true * (0.2e0 + 0.8e0 * u(sm))",
     "bulge_to_total_ratio": "u(bt)",
     "shape_xx": "0.2e0 + u(xx)",
     "shape_yy": "0.2e0 + u(yy)",
@@ -63,6 +65,7 @@ def derived(spark: SparkSession, sf_dir: str, table: str = "orders", key: str =
     return df.select("row_id", *names)
 
 
+#: Tables of the present session.
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -73,13 +76,17 @@ def catalog(spark: SparkSession, sf_dir: str, table: str = "orders", key: str =
     """
     at = (spark.sparkContext.applicationId, sf_dir, table)
     if at not in _written:
-        _written[at] = materialize(derived(spark, sf_dir, table, key), f"catalog-{table}")
+        for old in [k for k in _written if k[0] != at[0]]:
+            del _written[old]
+        # As many files as cores, so that scans of the table use all of them.
+        spread = derived(spark, sf_dir, table, key).repartition(spark.sparkContext.defaultParallelism)
+        _written[at] = materialize(spread, f"catalog-{table}")
     return _written[at].select("row_id", *(columns or list(FORMULAS)))
 
 
-def draw_sql(stream: str, seed: int, row_id: str = "row_id") -> str:
-    """A keyed draw in DuckDB's SQL."""
-    return f"(('0x' || substr(md5(CAST({row_id} AS VARCHAR) || '|{seed}|{stream}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+def draw_sql(stream: str, seed: int, row_id: str = "row_id", first: int = 1) -> str:
+    """A keyed draw in DuckDB's SQL, from the digest's hex digits from ``first`` on."""
+    return f"(('0x' || substr(md5(CAST({row_id} AS VARCHAR) || '|{seed}|{stream}'), {first}, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
 def catalog_sql(table: str = "orders", key: str = "o_orderkey", columns: list[str] | None = None) -> str:

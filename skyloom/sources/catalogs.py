@@ -12,7 +12,7 @@ from skyloom.functions.numeric import require
 from skyloom.operators.sampling import sample_n
 
 DEFAULT_FILTERS = ("mag_i_lsst < 26.5",)
-DEFAULT_QUANTITIES = ("redshift", *(f"mag_{b}_lsst" for b in "ugrizy"), "size_bulge_true", "size_disk_true")
+DEFAULT_QUANTITIES = ("redshift", *(f"mag_{b}_lsst" for b in "ugrizy"), "size_true", "size_minor_true")
 
 #: Formats by name; a function from (session, path) to a table.
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

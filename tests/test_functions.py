@@ -72,8 +72,9 @@ def test_healpix_centers_round_trip(spark, nside):
     pix = np.arange(n) if n < 4000 else np.random.default_rng(0).choice(n, 3000, replace=False)
     lon, lat = sky.pix2ang_ring(pix, nside)
     df = spark.createDataFrame([(int(p), float(a), float(b)) for p, a, b in zip(pix, lon, lat, strict=True)], "p long, a double, b double")
-    got = df.select("p", sky.ang2pix_ring(F.col("a"), F.col("b"), nside).alias("q")).collect()
-    assert all(r.p == r.q for r in got)
+    x, y = sky.pixel_centers(F.col("p"), nside)
+    got = df.select("p", sky.ang2pix_ring(F.col("a"), F.col("b"), nside).alias("q"), "a", "b", x.alias("x"), y.alias("y")).collect()
+    assert all(r.p == r.q and abs(r.a - r.x) < 1e-9 and abs(r.b - r.y) < 1e-9 for r in got)
 
 
 def test_healpix_known_pixels(spark):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.operators import blending, degraders, errors, grid, igm, obscond, photometry, scatter, selections, shapes
+from skyloom.operators import blending, degraders, errors, grid, igm, obscond, photometry, sampling, scatter, selections, shapes
 from skyloom.sources import catalogs, rates
 from skyloom.sources.catalog_view import catalog
 
@@ -46,8 +46,8 @@ def test_hyperbolic(spark, cat):
     out = photometry.hyperbolic_magnitudes(cat, smooth, keep=["row_id", "mag_i_lsst"])
     bright = out.where("mag_i_lsst < 18").agg(F.max(F.abs(F.col("mag_i_lsst") - F.col("mag_hyp_i_lsst")))).first()[0]
     assert bright < 0.05
-    with pytest.raises(KeyError, match="mag_y_lsst"):
-        photometry.hyperbolic_magnitudes(cat, smooth.where("filter != 'mag_y_lsst'"))
+    with pytest.raises(Exception, match="no smoothing parameters for: mag_y_lsst"):
+        photometry.hyperbolic_magnitudes(cat, smooth.where("filter != 'mag_y_lsst'")).collect()
 
 
 def test_redden_and_deredden(spark, cat):
@@ -106,6 +106,118 @@ def test_edges_are_strict(spark):
     assert selections.select(df, "GAMA", cfg(nondetect_val=19.5)).count() == 2
 
 
+def test_medians_are_exact(spark, monkeypatch):
+    """Against sorted values, with parts and rows so few that several rounds are needed."""
+    rng = np.random.default_rng(3)
+    cases = {
+        "even": rng.normal(size=4000),
+        "odd": rng.normal(size=3999).tolist() + [None],
+        "far": np.concatenate((rng.normal(size=3998), [1e300, -1e300])),
+        "ties": np.repeat([1.0, 2.0], 2000),
+        "one": np.full(4000, 7.0),
+        "nan": np.where(np.arange(4000) < 1000, np.nan, rng.exponential(size=4000)),
+        "inf": np.where(np.arange(4000) < 2500, np.inf, 1.0),
+        "none": [None] * 4000,
+    }
+    rows = list(zip(*[[None if x is None else float(x) for x in v] for v in cases.values()], strict=True))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cases))
+    want = []
+    for v in cases.values():
+        own = np.array([x for x in v if x is not None and not np.isnan(x)])
+        want.append(float(np.median(own)) if len(own) else None)
+    for parts, kept in ((4096, 20_000), (16, 10), (2, 3)):
+        monkeypatch.setattr(photometry, "MEDIAN_PARTS", parts)
+        monkeypatch.setattr(photometry, "MEDIAN_ROWS", kept)
+        assert photometry.exact_medians(df, list(cases)) == want
+
+
+def test_error_model_fields(spark, cat):
+    """Each field of the parameters changes what it says."""
+    mags = {b: f"mag_{b}_lsst" for b in "ugrizy"}
+    base = errors.preset("LSSTErrorModel", rename=mags)
+    run = lambda **more: errors.add_errors(cat.select("row_id", *mags.values()), errors.preset("LSSTErrorModel", rename=mags, **more))
+    by = lambda df, c: {r.row_id: r[c] for r in df.select("row_id", c).collect()}
+    plain, true = by(run(), "mag_u_lsst_err"), by(cat, "mag_u_lsst")
+    # scale multiplies the noise-to-signal ratio; without correlation errors belong to true magnitudes
+    expected = by(errors.add_errors(cat, base, noiseless=True), "mag_u_lsst_err")
+    assert by(run(decorrelate=False), "mag_u_lsst_err")[1] == pytest.approx(expected[1], rel=1e-12) != plain[1]
+    nsr = lambda err: 10 ** (err / 2.5) - 1
+    twice = by(run(decorrelate=False, scale={"u": 2.0}), "mag_u_lsst_err")
+    assert nsr(twice[1]) == pytest.approx(2 * nsr(expected[1]), rel=1e-9)
+    # high signals: errors are the ratios themselves, with the floor as it stands
+    high = by(run(high_snr=True, decorrelate=False, sigma_sys=0.0), "mag_u_lsst_err")
+    low = by(run(decorrelate=False, sigma_sys=0.0), "mag_u_lsst_err")
+    assert high[1] == pytest.approx(nsr(low[1]), rel=1e-9)
+    # no flux below 0 is lost, and non-detections get the limit
+    assert all(math.isfinite(x) for x in by(run(abs_flux=True), "mag_u_lsst").values())
+    limit = errors.preset("LSSTErrorModel", rename=mags, sigma_limit=5.0, nd_mode="limit", sigma_sys=0.0)
+    found = errors.add_errors(cat, limit).select("row_id", "mag_u_lsst", "mag_u_lsst_err").collect()
+    faint = max(r.mag_u_lsst for r in found)
+    assert max(r.mag_u_lsst_err for r in found) <= 2.5 * math.log10(1.2) + 1e-12
+    assert sum(r.mag_u_lsst == faint for r in found) > 10 and all(math.isfinite(r.mag_u_lsst) for r in found)
+    at = spark.createDataFrame([(1, faint)], "row_id long, mag_u_lsst double")
+    one = errors.preset("LSSTErrorModel", bands=("u",), rename=mags, sigma_sys=0.0)
+    assert errors.add_errors(at, one, noiseless=True).first().mag_u_lsst_err == pytest.approx(2.5 * math.log10(1.2), rel=1e-9)
+    # places of the columns
+    assert run(err_place="after").columns[:3] == ["row_id", "mag_u_lsst", "mag_u_lsst_err"]
+    assert run(err_place="alone").columns == ["row_id", *[f"{m}_err" for m in mags.values()]]
+    for bad in ({"nd_mode": "x"}, {"nd_mode": "limit"}, {"err_place": "x"}, {"scale": {"u": -1.0}}):
+        with pytest.raises(ValueError):
+            run(**bad)
+    errors.register_model("Mine", errors.preset("EuclidErrorModel", years=2.0))
+    assert errors.preset("Mine", seed=3).years == 2.0 and errors.preset("Mine", seed=3).seed == 3
+    del errors.PRESETS["Mine"]
+    assert true
+
+
+def test_rows_at_one_position_make_no_pairs(spark, monkeypatch):
+    """A place that many rows share is one point, so pairs don't grow with its square."""
+    rows = [(i, 10.0, 0.0) for i in range(3000)] + [(5000, 10.0001, 0.0), (5001, 370.0, -0.0), (5002, 50.0, 5.0), (5003, float("nan"), 1.0), (5004, float("nan"), 1.0), (5005, None, None)]
+    df = spark.createDataFrame(rows, "row_id long, ra double, dec double")
+    seen = []
+    plain = blending.close_pairs
+    monkeypatch.setattr(blending, "close_pairs", lambda d, c: seen.append(plain(d, c).count()) or plain(d, c))
+    got = {r.row_id: r.group_id for r in blending.friends_of_friends(df).collect()}
+    assert seen == [1] and len(got) == len(rows)
+    assert {got[i] for i in [*range(3000), 5000, 5001]} == {0} and all(got[i] == i for i in (5002, 5003, 5004, 5005))
+    sized = blending.BlendConfig(match_size=True)
+    with pytest.raises(ValueError, match="columns"):
+        blending.friends_of_friends(df, sized)
+    with pytest.raises(TypeError):
+        blending.BlendConfig(match_shape=1).validate()
+
+
+def test_weights_are_cumulated_in_parts(spark, cat, monkeypatch):
+    """The same pixels whatever the parts; uneven and zero weights; as many draws as rows."""
+    from skyloom.plans.registry import obs_conditions
+
+    cfg = obs_conditions(spark)
+    df = cat.select("row_id", "mag_i_lsst")
+    want = {r.row_id: (r.pixel, r.ra, r.decl) for r in obscond.assign_pixels(df, cfg).collect()}
+    assert len(want) == cat.count()
+    monkeypatch.setattr(obscond, "PART_PIXELS", 100)
+    assert {r.row_id: (r.pixel, r.ra, r.decl) for r in obscond.assign_pixels(df, cfg).collect()} == want
+    import dataclasses
+
+    nothing = dataclasses.replace(cfg, weight=cfg.weight.withColumn("value", F.lit(0.0)))
+    with pytest.raises(ValueError, match="positive weight"):
+        obscond.assign_pixels(df, nothing)
+    plan = obscond.assign_pixels(df, cfg)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
+
+
+def test_a_large_sample_is_cut_by_counts(spark, cat, monkeypatch):
+    """The same rows as a top-n, and only one part of the draws is put in order."""
+    want = {n: {r.row_id for r in sampling.chosen_ids(cat, "row_id", n, 5, "s").collect()} for n in (0, 1, 300, 10**6)}
+    monkeypatch.setattr(sampling, "TOP_N", -1)
+    for parts in (7, 65_536):
+        monkeypatch.setattr(sampling, "PARTS", parts)
+        for n, ids in want.items():
+            made = sampling.chosen_ids(cat, "row_id", n, 5, "s")
+            assert {r.row_id for r in made.collect()} == ids
+            assert n == 10**6 or len(ids) == n
+
+
 def test_downsample(spark, cat):
     a = selections.select(cat, "GAMA", selections.SpecConfig(n_tot=20))
     assert a.count() == 20
@@ -116,7 +228,8 @@ def test_downsample(spark, cat):
     assert flags.agg(F.sum("flag")).first()[0] == 20
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
-        assert selections.select(cat, "GAMA", selections.SpecConfig(n_tot=10**6)).count() == selections.select(cat, "GAMA", cfg()).count()
+        few = selections.SpecConfig(n_tot=10**6, warn_if_fewer=True)
+        assert selections.select(cat, "GAMA", few).count() == selections.select(cat, "GAMA", cfg()).count()
     assert any("fewer" in str(w.message) for w in seen)
 
 
