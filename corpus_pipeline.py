@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import chosen_path, packing, rlz, toxicity
-from skyloom.llm.common import id_key, load, materialize
+from skyloom.llm.common import discard, id_key, load, materialize
 from skyloom.llm.queries import WORD_BPE
 
 #: SQL can't express a learned score, so the pipeline is tested stage by stage against brute force.
@@ -35,8 +35,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that a window of 20 words repeats from earlier text go; n_chars follows the text."""
-    out = rlz.dedup(docs).drop("n_words", "n_removed")
+    """Words that a window of 20 words repeats from earlier text go; n_chars follows the text.
+
+    Columns with the names of the operator's counts are passed through like any other.
+    """
+    held = {c: f"__{c}" for c in ("n_words", "n_removed") if c in docs.columns}
+    out = rlz.dedup(docs.withColumnsRenamed(held)).drop("n_words", "n_removed")
+    out = out.withColumnsRenamed({b: a for a, b in held.items()})
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -54,8 +59,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each on the written result of the one before."""
+    """Apply the stages to ``documents``, each on the written result of the one before.
+
+    A stage's table is deleted once the next one is written; the last stage keeps what it reads.
+    """
     docs = load(spark, sf_dir, "documents")
+    held = None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            discard(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
