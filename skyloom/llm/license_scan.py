@@ -1,21 +1,22 @@
 """License scan: templates are retrieved with MinHash bands over overlapping windows.
 
 1. Words are lower-case runs of letters and digits; a shingle is ``SHINGLE`` words. A shorter
-   template is one shingle of all its words, and texts are hashed at that width too. Long
-   templates are cut into pieces of at most ``PIECE`` words.
-2. Windows cover every text. For pieces of up to m words they have 2 (m - 1) words and are
-   m - 1 words apart, so any m words in a row lie in one window, whose set is all of its
-   shingles. The scales m are chosen from the pieces' lengths so that a window's set and that of
-   a piece in it have a Jaccard similarity of at least ``JACCARD``.
-3. Each window has ``BANDS`` bands of one min-hash. A window and a piece of similarity J meet in
-   some band with 1 - (1 - J)^BANDS: more than 0.9997 at ``JACCARD``, 0.999 where a fifth of the
-   piece's shingles differ. A template of several pieces has that chance with each.
-4. A text and the templates it met are verified by exact containment: of a template's different
-   shingles, ``CONTAINMENT`` at least stand in the whole text. Of two matched templates of which
-   one mostly stands in the other, the longer one is reported.
-
-All of it is DataFrame functions. Texts stay in their rows until they have met a template, and
-groups are single documents, so popular licenses make no large group.
+   template is one shingle of all its words, and texts are hashed at that width too.
+2. Windows of ``2 x STRIDE`` words, ``STRIDE`` apart, cover every text, so any ``STRIDE``
+   words in a row lie in one window. Templates are cut into pieces of at most ``STRIDE``
+   words. A window's set holds its shingles that any template has: a shingle that no
+   template has can't be a common min-hash, so leaving it out loses nothing, and windows
+   without any are never built. Each width of shingles has windows of its own.
+3. ``BANDS`` bands of one min-hash retrieve pieces. A window's set has 60 shingles at most, so
+   even a template of a single shingle, beside 59 of others, has J = 1/60 and meets in some
+   band with 1 - (1 - 1/60)^512 > 0.9998; longer templates meet all but surely. A template of
+   w < ``SHINGLE`` words stands beside 64 - w others of its width at most (1/64: > 0.9996).
+4. Retrieved templates are verified by exact containment: of a template's different
+   shingles, ``CONTAINMENT`` at least stand in the document's retrieved windows. Of two matched
+   templates of which one mostly stands in the other, the longer one is reported.
+
+All of it is DataFrame functions. A group is one window or one (document, template), so
+popular licenses make no large group.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import NULL_ID, id_key
+from skyloom.llm.common import id_key
 
-SHINGLE, PIECE, BANDS, JACCARD, CONTAINMENT = 5, 32, 32, 0.23, 0.8
-#: Up to so many bands of templates are literals in the plan; more are joined, without a broadcast hint.
-LITERALS = 20_000
+SHINGLE, STRIDE, BANDS, CONTAINMENT = 5, 32, 512, 0.8
+#: Templates with more shingles and bands in all are joined without a broadcast hint.
+BROADCAST_ROWS = 200_000
 
 # Notices, grant paragraphs and short texts of public licenses.
 TEMPLATES = {
@@ -132,67 +133,27 @@ def width(words: list[str]) -> int:
 
 
 def template_pieces(templates: dict[str, str]) -> list[tuple[str, int, list[str]]]:
-    """(template, width, words) of pieces of at most PIECE words, nearly equal, which have all the template's shingles."""
+    """(template, piece, shingles) of pieces of at most STRIDE words that overlap by SHINGLE - 1.
+
+    A template of fewer words than SHINGLE is one piece of one shingle.
+    """
     out = []
     for name, text in templates.items():
         w = template_words(text)
         if not w:
             raise ValueError(f"template {name}: no words")
-        n = len(w) - width(w) + 1
-        k = -(-n // (PIECE - width(w) + 1))
-        cut = [n * i // k for i in range(k + 1)]
-        out += [(name, width(w), w[a : b + width(w) - 1]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        shingles = [" ".join(w[i : i + width(w)]) for i in range(len(w) - width(w) + 1)]
+        step = STRIDE - SHINGLE + 1
+        out += [(name, k, shingles[a : a + step]) for k, a in enumerate(range(0, len(shingles), step))]
     return out
 
 
-def least_jaccard(n: int, w: int, m: int) -> float:
-    """Of a piece of n words and a window for m, at a shingle width of w: the window holds the whole piece."""
-    return (n - w + 1) / (window_words(m) - w + 1)
-
-
-def window_words(m: int) -> int:
-    """Windows of so many words, ``stride(m)`` apart, hold any m words in a row."""
-    return max(2 * (m - 1), m)
-
-
-def stride(m: int) -> int:
-    return max(m - 1, 1)
-
-
-def scales(pieces: list[tuple[str, int, list[str]]]) -> dict[tuple[int, int], int]:
-    """(width, piece's words) -> m, the scale of its windows: as few as keep ``least_jaccard`` at JACCARD."""
-    out: dict[tuple[int, int], int] = {}
-    for w, n in sorted({(w, len(p)) for _, w, p in pieces}, reverse=True):
-        held = [m for (v, _), m in out.items() if v == w and least_jaccard(n, w, m) >= JACCARD]
-        out[w, n] = min(held, default=n)
-    return out
-
-
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: as a lambda's variable."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def band_numbers() -> Column:
-    return F.sequence(F.lit(1), F.lit(BANDS))
-
-
-def ordered(shingles: Column, k: Column) -> Column:
-    """Shingle hashes in the order of band k: hashed again with its number."""
-    return F.transform(shingles, lambda x: F.xxhash64(x, k))
-
-
-def bands(shingles: Column) -> Column:
-    """The bands of a set of shingle hashes: for each band, its least hash."""
-    return F.transform(band_numbers(), lambda k: F.array_min(ordered(shingles, k)))
-
-
-def shingle_hashes(words: Column, w: int) -> Column:
-    """Hashes of the runs of w words from hashes of words."""
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size(words) - w), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(w)])
+def bands(known: Column) -> Column:
+    """Hashes of the bands of a set of shingle hashes: the least hash under each of BANDS hash functions."""
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(BANDS)),
+        lambda b: F.xxhash64(b, F.array_min(F.transform(known, lambda x: F.xxhash64(x, b)))),
     )
-    return F.when(F.size(words) >= w, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def superseded(templates: dict[str, str]) -> list[tuple[str, str]]:
@@ -210,90 +171,90 @@ def superseded(templates: dict[str, str]) -> list[tuple[str, str]]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, license, containment, first_word and n_bands of every match.
+    """doc_id, license, containment, first_word and n_windows of every match.
 
-    ``first_word`` is the place of the first matched shingle, ``n_bands`` the number of the
-    template's bands that the text's windows met. Null and empty texts match nothing; a null
-    doc_id stays null. Equal rows are one document and match once; rows with one id and
-    different texts are scanned each. Other columns are left out, texts can have any length, and
-    an empty table gives no rows. Word order inside shingles counts, case and punctuation don't.
+    ``first_word`` is the place of the first matched shingle. Null and empty texts match
+    nothing; a null doc_id stays null. Equal rows are one document and match once; rows
+    with one id and different texts are scanned each. Other columns are left out, and an
+    empty table gives no rows. Word order inside shingles counts, case and punctuation don't.
     Without ``templates``, TEMPLATES and SHORT_NOTICES are looked for.
     """
     spark = docs.sparkSession
     templates = TEMPLATES | SHORT_NOTICES if templates is None else templates
     made = template_pieces(templates)
-    scale = scales(made)
-    widths = sorted({w for _, w, _ in made})
-
-    # The templates' side, from the parameter alone, by the same expressions.
-    pieces = spark.createDataFrame(made, "license string, width int, words array<string>")
-    hashed = pieces.withColumn("words", F.transform("words", lambda x: F.xxhash64(x)))
-    own = F.lit(None).cast("array<bigint>")
-    for w in widths:
-        own = F.when(F.col("width") == w, bands(shingle_hashes(F.col("words"), w))).otherwise(own)
-    index = hashed.select("license", F.explode(own).alias("band")).distinct()
-    whole = None
-    for w in widths:
-        part = hashed.where(F.col("width") == w).select("license", F.lit(w).alias("width"), F.explode(shingle_hashes(F.col("words"), w)).alias("s"))
-        whole = part if whole is None else whole.union(part)
-    wholes = whole.groupBy("license", "width").agg(F.collect_set("s").alias("whole"))
-    size = len(made) * BANDS
-    wanted = [r["band"] for r in index.select("band").distinct().collect()] if size <= LITERALS else None
+    widths = sorted({width(template_words(t)) for t in templates.values()})
+    table = spark.createDataFrame(made, "license string, piece int, shingles array<string>")
+    hashed = table.select("license", "piece", F.transform("shingles", lambda s: F.xxhash64(s)).alias("shingles"))
+    # Broadcast only up to a size that is checked: a row of at most 60 bytes a shingle or band.
+    total = sum(len(x) for _, _, x in made) + BANDS * len(made)
+    small = F.broadcast if total <= BROADCAST_ROWS else (lambda t: t)
+    wanted = small(hashed.select(F.explode("shingles").alias("s")).distinct())
+    index = small(
+        hashed.select("license", "piece", F.explode(bands(F.array_distinct("shingles"))).alias("band")).distinct()
+    )
+    wholes = small(
+        hashed.groupBy("license").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("whole"))
+    )
 
-    words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.xxhash64(x))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     texts = docs.where(F.col("text").isNotNull()).select(
         id_key().alias("doc_id"), F.xxhash64("text").alias("text_hash"), words.alias("w")
     )
-    sets = texts.select("doc_id", "text_hash", *[shingle_hashes(F.col("w"), w).alias(f"s{w}") for w in widths])
-
-    def met(w: int) -> Column:
-        """The bands of all windows of a width's scales; those of templates only, where these are literals."""
-        shingles, n = F.col(f"s{w}"), F.size(f"s{w}")
-
-        def windows(hashes: Column, m: int) -> Column:
-            step, held = stride(m), window_words(m) - w + 1
-            last = F.ceil(F.greatest(n - held, F.lit(0)) / step).cast("int")
-            return F.transform(F.sequence(F.lit(0), last), lambda j: F.array_min(F.slice(hashes, j * step + 1, F.lit(held))))
+    texts = texts.where(F.size("w") >= widths[0])
 
-        def band(k: Column) -> Column:
-            own = sorted({m for (v, _), m in scale.items() if v == w})
-            found = let(ordered(shingles, k), lambda hashes: F.concat(*[windows(hashes, m) for m in own]))
-            return found if wanted is None else F.filter(found, lambda x: x.isin(wanted))
-
-        every = F.flatten(F.transform(band_numbers(), band))
-        return F.when(n > 0, every).otherwise(F.array().cast("array<bigint>"))
+    def shingles(n: int) -> Column:
+        found = F.transform(
+            F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " "))
+        )
+        return found if n == widths[0] else F.when(F.size("w") >= n, found)
 
-    # No filter on "met", and an outer explode, which implies none: it would be pushed below, with all that "met" is
-    # made of, words and shingles, inside of its lambdas. The join drops texts without bands.
-    found = sets.withColumn("met", F.array_distinct(F.concat(*[met(w) for w in widths])))
-    shingled = [f"s{w}" for w in widths]
-    retrieved = (
-        found.select("doc_id", "text_hash", *shingled, F.explode_outer("met").alias("band"))
+    by_width = F.explode(F.array(*(F.struct(F.lit(n).alias("width"), shingles(n).alias("found")) for n in widths))).alias("x")
+    hits = (
+        texts.select("doc_id", "text_hash", by_width)
+        .select("doc_id", "text_hash", F.col("x.width").alias("width"), F.posexplode("x.found").alias("at", "s"))
+        .join(wanted, "s")
+    )
+    # Window j holds the words from STRIDE x j on; a shingle fits into one or two.
+    j = F.floor(F.col("at") / STRIDE).cast("int")
+    fits = F.filter(F.array(j - 1, j), lambda x: (x >= 0) & (F.col("at") + F.col("width") <= (x + 2) * STRIDE))
+    windows = (
+        hits.select("doc_id", "text_hash", "width", F.explode(fits).alias("window"), "s", "at")
+        .groupBy("doc_id", "text_hash", "width", "window")
+        .agg(F.collect_set("s").alias("known"), F.min("at").alias("at"), F.collect_list(F.struct("at", "s")).alias("places"))
+    )
+    met = (
+        windows.select("*", F.explode(bands(F.col("known"))).alias("band"))
         .join(index, "band")
-        .groupBy("doc_id", "text_hash", "license")
-        .agg(F.countDistinct("band").alias("n_bands"), *[F.first(c).alias(c) for c in shingled])
+        .select("doc_id", "text_hash", "width", "window", "known", "places", "license")
+        .distinct()
+    )
+    verified = (
+        met.groupBy("doc_id", "text_hash", "license")
+        .agg(
+            F.array_distinct(F.flatten(F.collect_list("known"))).alias("found"),
+            F.flatten(F.collect_list("places")).alias("places"),
+            F.count(F.lit(1)).alias("n_windows"),
+        )
         .join(wholes, "license")
+        .withColumn("containment", F.size(F.array_intersect("found", "whole")) / F.size("whole"))
+        .where(F.col("containment") >= CONTAINMENT)
     )
-    here = F.col(f"s{widths[-1]}")
-    for w in widths[:-1]:
-        here = F.when(F.col("width") == w, F.col(f"s{w}")).otherwise(here)
-    common = retrieved.withColumn("here", here).withColumn("common", F.array_intersect("here", "whole"))
-    verified = common.withColumn("containment", F.size("common") / F.size("whole")).where(F.col("containment") >= CONTAINMENT)
-    first = F.array_min(F.transform("common", lambda x: F.array_position("here", x))) - 1
-    matches = verified.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(
-            F.struct("license", F.round("containment", 6).alias("containment"), first.cast("long").alias("first_word"), "n_bands")
-        ).alias("matches")
+    first = F.array_min(F.transform(F.filter("places", lambda p: F.array_contains(F.col("whole"), p["s"])), lambda p: p["at"]))
+    found = verified.select(
+        "doc_id",
+        "text_hash",
+        "license",
+        F.round("containment", 6).alias("containment"),
+        first.cast("long").alias("first_word"),
+        F.col("n_windows").cast("long").alias("n_windows"),
+    )
+    matches = found.groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("license", "containment", "first_word", "n_windows")).alias("matches")
     )
     pairs = [f"{a}\n{b}" for a, b in superseded(templates)]
     if pairs:
-        matches = matches.withColumn(
-            "matches",
-            F.filter(
-                "matches",
-                lambda x: ~F.exists("matches", lambda y: F.concat_ws("\n", x["license"], y["license"]).isin(pairs)),
-            ),
-        )
+        longer = lambda x: F.exists("matches", lambda y: F.concat_ws("\n", x["license"], y["license"]).isin(pairs))
+        matches = matches.withColumn("matches", F.filter("matches", lambda x: ~longer(x)))
     return matches.select("doc_id", F.explode("matches").alias("x")).select(
-        F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "x.*"
+        F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "x.*"
     )
