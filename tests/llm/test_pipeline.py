@@ -63,3 +63,20 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     packed = cp.run(spark, d).collect()
     assert {r.doc_id for r in packed} == set(left)
     assert [name for name, _ in cp.STAGES] == ["toxicity", "near_duplicates", "repeated_passages", "packing"]
+
+
+def test_repeated_rows_clashing_columns_and_empty_tables(spark, docs, tmp_path):
+    """Every stage keeps the columns it is given, names of its own included, and takes repeats and empty tables."""
+    rows, labels = corpus(3)
+    rows = rows[:60] + rows[:10] + [(None, rows[2][1]), (None, None)]
+    extra = ["1 score", "2 family", "3 size", "4 found", "5 n_words", "6 length", "7 node", "8 text_hash"]
+    d = f"file://{tmp_path}/sf"
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    for table, empty in ((docs(rows, 3).selectExpr("*", *extra), False), (docs([]).selectExpr("*", *extra), True)):
+        for _, stage in cp.STAGES[:3]:
+            out = stage(spark, table, d)
+            # n_words is what the stage of repeated passages counts; as an input column it is passed through
+            assert out.columns == table.columns
+            assert (out.count() == 0) == empty
+            table = spark.createDataFrame(out.collect(), out.schema)
+        assert (cp.pack_sequences(spark, table, d).count() == 0) == empty
