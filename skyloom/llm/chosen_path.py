@@ -3,7 +3,8 @@
 Documents are sets of shingles (runs of ``k`` words). Sets split recursively: at a node,
 every set picks, with the node's own hash, tokens of a sketch and follows each of them
 to a child, so that two sets at the similarity threshold are expected to share more than
-one child. Nodes with few sets are brute-forced; larger ones split again. A pair of
+one child. Nodes with few sets are brute-forced; larger ones split again, unless most of their
+sets are alike, which would stay together: these are compared through leaders. A pair of
 similar sets may part at some node, so the descent is repeated in independent runs.
 
 Each set's sketch is a row of min-hashes, one token per coordinate; a coordinate is
@@ -36,10 +37,12 @@ from skyloom.llm.common import NULL_ID, discard, id_key, materialize
 from skyloom.llm.words import SEEDS, Words, mix
 
 K, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Coordinates of a sketch, coordinates picked at a node, and levels of the descent.
+#: Coordinates of a sketch, coordinates picked at a node, and levels of the descent at most.
 WIDTH, PICKS, DEPTH = 64, 3, 3
 #: Sets in a node that are compared at once, sets in a block of a family, and rows that a task compares at a time.
-NODE, BLOCK, ROWS = 256, 512, 8192
+NODE, BLOCK, ROWS = 1024, 512, 8192
+#: Sets of a large node that all others are compared with first, at most.
+LEADERS = 32
 
 
 def slack(threshold: float) -> float:
@@ -195,8 +198,25 @@ def tree_edges(ids: np.ndarray, similar: np.ndarray) -> list[tuple[int, int]]:
     return [(by_least[int(label[i])], int(ids[i])) for i in range(n) if by_least[int(label[i])] != int(ids[i])]
 
 
+def across(ids: np.ndarray, similar: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Edges between sides 1 and 2 that connect what ``similar`` connects, beyond what each side does by itself."""
+    part = ids.copy()
+    for s in (1, 2):
+        own = np.flatnonzero(side == s)
+        if len(own):
+            root = {b: a for a, b in tree_edges(ids[own], similar[np.ix_(own, own)])}
+            part[own] = [root.get(int(x), int(x)) for x in ids[own]]
+    x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    i, j = np.nonzero(similar[np.ix_(x, y)])
+    return [tuple(e) for e in np.unique(np.column_stack((part[x[i]], part[y[j]])), axis=0).tolist()]
+
+
 def _compare(width: int, threshold: float):
-    """Tree edges between sets of a node with similar sketches. Rows of a node are together."""
+    """Tree edges between sets of a node with similar sketches. Rows of a node are together.
+
+    A pair of blocks (sides 1 and 2) gives edges across only: one for each pair of parts that
+    is connected, where parts are what each block connects by itself.
+    """
     least = (threshold - slack(threshold)) * width
 
     def run(batches):
@@ -213,7 +233,7 @@ def _compare(width: int, threshold: float):
         def groups(batch, last):
             node = batch["node"].to_numpy()
             cut = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True]))) if len(node) else np.array([0])
-            ids = batch["doc_id"].to_numpy()
+            ids, side = batch["doc_id"].to_numpy(), batch["side"].to_numpy()
             sketch = batch["sketch"].to_pylist()
             edges = []
             ends = cut[1:] if last else cut[1:-1]
@@ -227,7 +247,7 @@ def _compare(width: int, threshold: float):
                     same = np.zeros((b - a, b - a), np.int8)
                     for c in range(width):
                         same += m[:, c][:, None] == m[:, c][None, :]
-                edges += tree_edges(ids[a:b], same >= least)
+                edges += tree_edges(ids[a:b], same >= least) if side[a] == 0 else across(ids[a:b], same >= least, side[a:b])
             return edges, 0 if last else int(cut[-2]) if len(cut) > 1 else 0
 
         for batch in batches:
@@ -362,22 +382,22 @@ def link_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, reca
         nodes = materialize(nodes, "nodes")
         size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         size = materialize(size, "node-sizes")
-        # Small nodes are compared; at the last level what is still large is cut into blocks.
-        if depth < DEPTH:
-            small, large = size.where(F.col("n") <= NODE), size.where(F.col("n") > NODE)
-        else:
-            small, large = size, None
-        here = nodes.join(small, "node").join(sketches, "doc_id").select("node", "doc_id", "sketch", "n")
-        found.append(_node_edges(here, threshold))
-        if large is None:
+        small, large = size.where(F.col("n") <= NODE), size.where(F.col("n") > NODE)
+        found.append(_small_nodes(nodes.join(small.select("node"), "node").join(sketches, "doc_id"), threshold))
+        if large.isEmpty():
             break
-        nodes = (
-            nodes.join(large, "node")
-            .join(sketches, "doc_id")
-            .select("node", "doc_id", "sketch")
-            .mapInArrow(_descend(1, PICKS, WIDTH), "node long, doc_id long")
-            .distinct()
-        )
+        led = _led(nodes.join(large, "node").join(sketches, "doc_id").select("node", "doc_id", "sketch", "n"), threshold)
+        # A node most of whose sets are like a leader stays together however it is split: it is compared as it is.
+        likely = F.col("attached") * 2 >= F.col("n") if depth < DEPTH else F.lit(True)
+        counts = led.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count("leader").alias("attached"))
+        dense = materialize(counts.select("node", likely.alias("dense")), "dense-nodes")
+        found.append(_dense_nodes(led.join(dense.where("dense").select("node"), "node"), threshold))
+        sparse = dense.where("not dense").select("node")
+        if sparse.isEmpty():
+            break
+        nodes = led.join(sparse, "node").select("node", "doc_id", "sketch").mapInArrow(
+            _descend(1, PICKS, WIDTH), "node long, doc_id long"
+        ).distinct()
     edges = found[0]
     for e in found[1:]:
         edges = edges.union(e)
@@ -406,18 +426,94 @@ def link_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, reca
     )
 
 
-def _node_edges(here: DataFrame, threshold: float) -> DataFrame:
-    """Tree edges of nodes. Nodes larger than NODE are compared in pairs of blocks."""
-    blocks = F.ceil(F.col("n") / NODE).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), blocks - 1),
-        lambda x: F.xxhash64("node", F.least(x, own), F.greatest(x, own)),
+def _leaders(threshold: float):
+    """Every row's leader: the first of its node's whose sketch is similar, or null."""
+    least = (threshold - slack(threshold)) * WIDTH
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                own = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint32).reshape(-1, WIDTH)
+                node = part.column("node").to_numpy()
+                leader, found = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+                for x in np.unique(node):
+                    rows = np.flatnonzero(node == x)
+                    for one in part.column("leaders")[int(rows[0])].as_py():
+                        sketch = np.frombuffer(one["sketch"], np.uint32)
+                        left = rows[~found[rows]]
+                        near = left[(own[left] == sketch).sum(axis=1) >= least]
+                        leader[near], found[near] = one["doc_id"], True
+                names = ["node", "doc_id", "sketch", "leader"]
+                cols = [part.column(c) for c in names[:3]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(leader, mask=~found)], names)
+
+    return run
+
+
+def _small_nodes(here: DataFrame, threshold: float) -> DataFrame:
+    """Tree edges of nodes of at most NODE sets: all are compared."""
+    rows = here.select("node", "doc_id", "sketch", F.lit(0).alias("side"))
+    return rows.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(_compare(WIDTH, threshold), "a long, b long")
+
+
+def _led(large: DataFrame, threshold: float) -> DataFrame:
+    """node, doc_id, sketch and leader of large nodes' sets: each is compared with some leaders of its node."""
+    picked = F.pmod(F.xxhash64("node", "doc_id"), F.greatest(F.ceil(F.col("n") / (LEADERS / 2)), F.lit(1))) == 0
+    leaders = large.where(picked).groupBy("node").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("doc_id", "sketch"))), 1, LEADERS).alias("leaders")
+    )
+    led = large.join(leaders, "node", "left").select("node", "doc_id", "sketch", F.coalesce("leaders", F.array()).alias("leaders"))
+    return materialize(led.mapInArrow(_leaders(threshold), "node long, doc_id long, sketch binary, leader long"), "led")
+
+
+def _dense_nodes(led: DataFrame, threshold: float) -> DataFrame:
+    """Tree edges of large nodes.
+
+    An edge joins every set to its leader, the first similar one. Sets with one leader are
+    connected by that and not compared with each other, so many near copies cost as many
+    comparisons, not their square. Blocks of up to NODE sets are made of the sets of one
+    leader where these fill blocks, and of all others; they are compared in pairs, but for two
+    blocks of one leader.
+    """
+    stars = led.where("leader != doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+
+    groups = led.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("g"))
+    full = F.col("leader").isNotNull() & (F.col("g") > NODE)
+    made = F.when(full, F.struct("leader", F.ceil(F.col("g") / NODE).cast("int").alias("blocks")))
+    per_node = groups.groupBy("node").agg(
+        F.ceil(F.coalesce(F.sum(F.when(~full, F.col("g"))), F.lit(0)) / NODE).cast("int").alias("mixed"),
+        F.collect_list(made).alias("pure"),
+    )
+    rows = led.join(per_node, "node")
+    mine = F.get(F.filter("pure", lambda p: p["leader"] == F.col("leader")), F.lit(0))["blocks"]
+    own = F.when(mine.isNotNull(), F.struct(F.col("leader").alias("of"), F.pmod(F.xxhash64("doc_id"), mine).cast("int").alias("i")))
+    own = F.coalesce(own, F.struct(F.lit(None).cast("long").alias("of"), F.pmod(F.xxhash64("doc_id"), F.greatest(F.col("mixed"), F.lit(1))).cast("int").alias("i")))
+    rows = rows.withColumn("own", own)
+    # Blocks of others are numbered from 0 with a null leader; null sorts first, so own and other are put in order.
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    block = "array<struct<of:bigint,i:int>>"
+    others = F.transform(numbers(F.col("mixed")), lambda i: F.struct(F.lit(None).cast("long").alias("of"), i.alias("i"))).cast(block)
+    pures = F.flatten(
+        F.transform(
+            F.filter("pure", lambda p: ~p["leader"].eqNullSafe(F.col("own.of"))),
+            lambda p: F.transform(numbers(p["blocks"]), lambda i: F.struct(p["leader"].alias("of"), i.alias("i"))),
+        )
+    ).cast(block)
+    met = rows.select("node", "doc_id", "sketch", "own", F.explode(F.concat(others, pures)).alias("other"))
+    first, second = F.least("own", "other"), F.greatest("own", "other")
+    pairs = met.select(
+        F.xxhash64("node", first["of"], first["i"], second["of"], second["i"], F.isnull(first["of"]), F.isnull(second["of"])).alias("node"),
+        "doc_id",
+        "sketch",
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") == first, 1).otherwise(2).alias("side"),
     )
-    keyed = here.select(F.explode(F.when(blocks > 1, pairs).otherwise(F.array("node"))).alias("node"), "doc_id", "sketch")
-    return keyed.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(
+    compared = pairs.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(
         _compare(WIDTH, threshold), "a long, b long"
     )
+    return compared.union(stars)
 
 
 def _exact(members: DataFrame, texts: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -64,6 +64,26 @@ def test_large_family_and_blocks(spark, docs, monkeypatch):
     assert got == brute(rows)
 
 
+def test_near_copies_make_few_edges(spark, docs, monkeypatch):
+    """A large node of near copies is joined by stars; blocks of one leader don't meet."""
+    monkeypatch.setattr(cp, "NODE", 16)
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[r.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    made = []
+    plain = cp._dense_nodes
+    monkeypatch.setattr(cp, "_dense_nodes", lambda led, t: made.append((led.count(), plain(led, t).cache())) or made[-1][1])
+    got = cp.link_classes(docs(rows, 4)).collect()
+    assert {x.class_id for x in got} == {0} and sum(x.n_links for x in got) == sum(x[2] for x in brute(rows).values())
+    assert len(made) == 1  # such a node isn't split again
+    for n, edges in made:
+        assert 300 <= n and edges.count() <= 1.2 * n
+
+
 def test_recall_of_runs():
     assert cp.runs_for(0.999) == 2
     assert (1 - cp.meeting_chance(0.8, cp.PICKS, cp.DEPTH)) ** cp.runs_for(0.999) <= 0.001
