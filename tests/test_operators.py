@@ -455,6 +455,36 @@ def test_friends_of_friends(spark, where):
     assert got == want and len(set(want.values())) < n
 
 
+@pytest.mark.parametrize("gathered", [10**6, 0])
+def test_crowded_points_make_few_links(spark, monkeypatch, gathered):
+    """Links are about as many as the points where each has hundreds of partners; groups are as by comparing all."""
+    monkeypatch.setattr(blending, "GATHERED", gathered)
+    r = np.random.default_rng(5)
+    n = 600
+    clump = r.integers(0, 4, (2, n)) * 3.1e-4  # four by four clumps, 1.1 arcsec apart, and bridges between some
+    ra, dec = 10 + clump[0] + r.normal(0, 8e-6, n), clump[1] + r.normal(0, 8e-6, n)
+    ra[:40], dec[:40] = 10 + r.uniform(0, 0.02, 40), r.uniform(-0.01, 0.01, 40)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(ra, dec, strict=True))]
+    df = spark.createDataFrame(rows, "row_id long, ra double, dec double")
+    assert blending.close_pairs(df, blending.BlendConfig()).count() < 2 * n
+    got = {x.row_id: x.group_id for x in blending.friends_of_friends(df).collect()}
+    assert got == brute_groups(rows, 1.0)
+
+
+def test_crowded_cells_are_halved():
+    """Two cells of many points: one pair near enough is found, and none if all lie farther apart."""
+    r = np.random.default_rng(1)
+    n, link = 20_000, 1 / 3600
+    ra, dec = 10 + r.normal(0, 1e-7, 2 * n), r.normal(0, 1e-7, 2 * n)
+    ra[n:] += link + 4e-6
+    near = blending._Near(ra, dec, blending._unit(ra, dec), link)
+    i, j = np.arange(n), np.arange(n, 2 * n)
+    assert not near.sets(i, j)
+    ra[-1] = ra[:n].max() + link * 0.99
+    near = blending._Near(ra, dec, blending._unit(ra, dec), link)
+    assert near.sets(i, j) and near.sets(j, i)
+
+
 def test_unrecognized_blends(spark, cat):
     out = blending.unrecognized_blends(cat)
     merged, comp = out["output"], out["components"]
