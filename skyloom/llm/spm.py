@@ -7,7 +7,7 @@ normaliser. Batches are encoded and decoded by the library's threads, and each w
 compared with what the sentencepiece library makes of it.
 
 Words recur, and where no piece crosses the front of a word, a text's ids are those of its
-words in a row. There each worker keeps the ids of words it has met and encodes new ones only;
+words in a row. There each worker keeps the ids of words it has met and the library's model encodes new ones only;
 parity and round trips are still judged on whole texts, so a difference in context shows.
 """
 
@@ -16,9 +16,12 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +30,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Threads that encode a batch, and bytes of text in one; a longer text is a batch of its own.
 THREADS, BATCH_BYTES = 2, 500_000
-#: Words a worker keeps the ids of.
-KEPT_WORDS = 150_000
+#: Words a worker keeps the ids of, of those met last and of those before, and their greatest length.
+KEPT_WORDS, KEPT_CHARS = 300_000, 64
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
@@ -154,16 +157,49 @@ class Model:
         if self.words_apart():
             # A piece has the mark in front only, so no merge crosses the front of a run of marks.
             t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
-        t.decoder = decoders.Sequence(
+        t.decoder = self.decoder()
+        return t
+
+    def decoder(self):
+        from tokenizers import decoders
+
+        return decoders.Sequence(
             [decoders.Replace(SPACE, " "), *([decoders.ByteFallback()] if self.byte_fallback else []), decoders.Fuse()]
             + ([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])
         )
-        return t
 
     def words_apart(self) -> bool:
         return all(SPACE not in p.lstrip(SPACE) for p, _, kind in self.pieces if kind in (NORMAL, USER))
 
 
+class _Words(dict):
+    """A word -> its ids by the library's model; ``front`` is put before it, a space stands for the mark.
+
+    When full, its words become the older ones, which come back as they are met: rare words don't keep frequent ones out.
+    """
+
+    def __init__(self, model, front: str):
+        tokenize = model.tokenize
+        older: dict[str, tuple[int, ...]] = {}
+
+        def missing(word: str) -> tuple[int, ...]:
+            nonlocal older
+            ids = older.get(word)
+            if ids is None:
+                ids = tuple([t.id for t in tokenize(front + word.replace(" ", SPACE))])
+            if len(word) <= KEPT_CHARS:
+                if len(self) >= KEPT_WORDS:
+                    older = dict(self)
+                    self.clear()
+                self[word] = ids
+            return ids
+
+        self.missing = missing
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        return self.missing(word)
+
+
 class Codec:
     """Encodes batches, decodes ids, and compares both with the sentencepiece library."""
 
@@ -171,6 +207,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
+        from tokenizers import decoders
 
         with open(path, "rb") as f:
             self.model = Model.parse(f.read())
@@ -183,7 +220,13 @@ class Codec:
             if m.words_apart() and m.escape_spaces and not m.drop_extra_spaces and not m.charsmap and m.normalizer == "identity"
             else None
         )
-        self.known: dict[str, list[int]] = {}
+        #: Words as they are, and words that follow a space of their text, or its lead, without it.
+        self.known, self.spaced = _Words(self.tokenizer.model, ""), _Words(self.tokenizer.model, SPACE)
+        # Pieces are joined by the library, marks become spaces in the whole text: one pass in place of one a piece.
+        self.tokenizer.decoder = decoders.ByteFallback() if m.byte_fallback else decoders.Fuse()
+        #: Bytes of the mark. Where they stand as bytes they stay a mark, so the decoder that goes by piece is asked.
+        self.mark_bytes = [self.tokenizer.token_to_id(f"<0x{b:02X}>") for b in SPACE.encode()] if m.byte_fallback else []
+        self.by_piece = m.decoder()
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts, by the library's own threads. An empty text has no ids, as in sentencepiece."""
@@ -192,32 +235,26 @@ class Codec:
         return [next(found).ids if t else [] for t in texts]
 
     def encode_words(self, texts: list[str]) -> list[list[int]]:
-        """As :meth:`encode_batch`, with the ids of known words."""
+        """As :meth:`encode_batch`, word by word: known words aren't encoded again."""
         if self.cut is None:
             return self.encode_batch(texts)
-        lead = " " if self.model.dummy_prefix else ""
-        cuts = [self.cut.findall(lead + t) if t else [] for t in texts]
-        known, fresh = self.known, {}
-        new = list({w for c in cuts for w in c if w not in known})
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            # The tokenizer puts the lead in front itself; a word that is the lead alone is the mark.
-            found = self.encode_batch([w[len(lead) :] for w in part])
-            for w, ids in zip(part, found, strict=True):
-                fresh[w] = ids if len(w) > len(lead) else [self.tokenizer.token_to_id(SPACE)]
-        if len(known) + len(fresh) <= KEPT_WORDS:
-            known.update(fresh)
-            fresh = {}
-        out = []
-        for c in cuts:
-            ids: list[int] = []
-            for w in c:
-                ids += known[w] if w in known else fresh[w]
-            out.append(ids)
-        return out
+        return [list(chain.from_iterable(self._words(t))) if t else [] for t in texts]
+
+    def _words(self, text: str) -> Iterator[tuple[int, ...]]:
+        if self.model.dummy_prefix and text[0] != " " and "  " not in text and SPACE not in text:
+            return map(self.spaced.__getitem__, text.split(" "))
+        return map(self.known.__getitem__, self.cut.findall(" " + text if self.model.dummy_prefix else text))
 
     def decode_batch(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        out = []
+        for own, text in zip(ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True):
+            if self.mark_bytes and all(b in own for b in self.mark_bytes):
+                pieces = [self.tokenizer.id_to_token(i) for i in own]
+                out.append(self.by_piece.decode([p for p in pieces if p is not None]))
+                continue
+            text = text.replace(SPACE, " ")
+            out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_batch([ids])[0]
@@ -233,7 +270,10 @@ class Codec:
 
 
 def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
 
 
 _codecs: dict[str, Codec] = {}

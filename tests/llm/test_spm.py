@@ -37,6 +37,23 @@ def test_every_document_is_encoded_and_decoded_whole(monkeypatch):
     assert [(x[1], x[2] == y) for x, y in zip(c.check(t), t, strict=True)] == [(True, True), (False, False)]
 
 
+def test_new_words_skip_the_pipeline(monkeypatch):
+    """Each new word is a call of the library's model alone, and rare words don't keep frequent ones out."""
+    monkeypatch.setattr(spm, "KEPT_WORDS", 20)
+    c, ref = spm.Codec(PIECE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    monkeypatch.setattr(c, "encode_batch", None)
+    t = [f"frequent w{i}é日 x{i}\n  y ▁z{i} " for i in range(100)] + [f"frequent w{i}é日" for i in range(200)] + ["", " ", "a  "]
+    assert c.encode_words(t) == ref.encode(t)
+    assert "frequent" in c.spaced and len(c.spaced) <= 20 and len(c.known) <= 20
+
+
+def test_bytes_of_the_mark_stay_a_mark():
+    c, ref = spm.Codec(PIECE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    mark = [ref.piece_to_id(f"<0x{b:02X}>") for b in spm.SPACE.encode()]
+    ids = [ref.encode("a b") + mark + ref.encode("c"), mark, ref.encode(" a  b"), []]
+    assert c.decode_batch(ids) == [ref.decode(i) if i else "" for i in ids]
+
+
 def test_batches_are_bounded_by_bytes():
     import pyarrow as pa
 
