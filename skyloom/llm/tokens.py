@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 #: Words that one worker keeps, with and without their punctuation. When full, further
 #: words are encoded each time they come.
-KEPT_WORDS, KEPT_PIECES = 150_000, 150_000
+KEPT_WORDS, KEPT_PIECES = 300_000, 300_000
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = ".,|*#%&$!?:;"
@@ -38,44 +39,42 @@ class _Pieces(dict):
     """Letters, with a leading space or without, or marks -> packed ids."""
 
     def __init__(self, model, lower: bool, width: int):
-        table, tokenize = byte_letters(), model.tokenize
-
-        def missing(piece: str) -> bytes:
-            text = piece.lower() if lower else piece
-            found = tokenize(text.encode().decode("latin-1").translate(table))
-            got = b"".join([t.id.to_bytes(width, "little") for t in found])
-            if len(self) < KEPT_PIECES:
-                self[piece] = got
-            return got
-
-        self.missing = missing
+        self.table, self.tokenize, self.lower = byte_letters(), model.tokenize, lower
+        self.space = self.table[ord(" ")]
+        self.pack = {n: struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(64)}
+        self.width = width
 
     def __missing__(self, piece: str) -> bytes:
-        return self.missing(piece)
+        text = piece.lower() if self.lower else piece
+        if text[1:].isalpha() and text.isascii() and text[0] == " ":  # ASCII letters stand for themselves
+            text = self.space + text[1:]
+        else:
+            text = text.encode().decode("latin-1").translate(self.table)
+        ids = [t.id for t in self.tokenize(text)]
+        got = self.pack[len(ids)](*ids) if len(ids) < 64 else b"".join([i.to_bytes(self.width, "little") for i in ids])
+        if len(self) < KEPT_PIECES:
+            self[piece] = got
+        return got
 
 
 class _Words(dict):
-    """A word between spaces (which follows a space) -> packed ids."""
+    """A word between spaces (which follows a space, or is one newline and a word) -> packed ids."""
 
     def __init__(self, pieces: _Pieces, between, space: str):
-        plain, get = PLAIN.fullmatch, pieces.__getitem__
-
-        def missing(word: str) -> bytes:
-            if m := plain(space + word):
-                letters, marks = m.groups()
-                got = get(letters) + get(marks) if marks else get(letters)
-            else:
-                got = between(space + word)
-                if "\n" in word:
-                    return got
-            if len(self) < KEPT_WORDS:
-                self[word] = got
-            return got
-
-        self.missing = missing
+        self.pieces, self.between, self.space = pieces, between, space
 
     def __missing__(self, word: str) -> bytes:
-        return self.missing(word)
+        letters = word.rstrip(MARKS)
+        if letters.isalpha() and letters.isascii():  # most words; PLAIN says the same
+            pieces = self.pieces
+            got = pieces[self.space + letters]
+            if len(letters) < len(word):
+                got += pieces[word[len(letters) :]]
+        else:
+            got = self.between(word if word[:1] == "\n" else self.space + word)
+        if len(self) < KEPT_WORDS:
+            self[word] = got
+        return got
 
 
 class TextEncoder:
@@ -120,7 +119,8 @@ class TextEncoder:
             return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or ODD_SPACE.search(text):
             return self.ask(text)
-        first, *rest = text.split(" ")
+        # A newline goes with the word after it, so lines' ends and starts are known words too.
+        first, *rest = text.replace("\n", " \n").split(" ")
         return self.between(first) + b"".join(map(self.words.__getitem__, rest))
 
 

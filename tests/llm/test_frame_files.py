@@ -79,3 +79,12 @@ def test_reader_decompresses_only_what_is_asked_for(spark, docs, tmp_path):
     assert sorted(r.doc_id for r in got) == [5, 33]
     with pytest.raises(ValueError):
         frame_files.FrameReader(io.BytesIO(b"x" * 100))
+
+
+def test_words_after_a_newline_are_known():
+    enc, plain = tokens.TextEncoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    texts = ["a word.\nThe line\nthé end,\n", "\nstart 12\n34 it's\n's x\n.y", "ªb\nµm º. Aµ ..a\n", "\n", "a\n\nb c", "x \ny", "日本\n日 é%%\n%% q"]
+    for _ in range(2):
+        for t in texts:
+            assert enc.encode(t) == enc._np.array(plain.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes(), t
+    assert "\nThe" in enc.words and "word.\nThe" not in enc.words
