@@ -94,6 +94,38 @@ def test_bounds_hold():
         assert list(held.doc[0]) == list(free.doc[0])
 
 
+def test_few_documents_of_a_pivot_are_scored_exactly():
+    """Float32 sums leave out most documents, also without a threshold to start with; close scores and ties stay apart."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(6)
+    # Every document has the query's words; hundreds differ from the best in the sixth digit or not at all.
+    words = [f"q{i}" for i in range(300)]
+    data = [(i, " ".join(words[: 300 - i % 3 * (i % 200)] + ["x"] * (i % 7))) for i in range(1500)]
+    r.shuffle(data)
+    shard = one_shard(data)
+    query = pa.array([" ".join(words)])
+    _, terms, _, _ = bm25.term_counts(query)
+    owner, weights = np.zeros(len(terms), int), np.linspace(1e-4, 2, len(terms))
+    best, every = bm25.Best(1, 5), bm25.Best(1, 1500)
+    shard.search(owner, terms, weights, best, 0)
+    assert 5 <= shard.scored < 500
+    shard.search(owner, terms, weights, every, 0)
+    weight = dict(zip(terms.tolist(), weights, strict=True))
+    _, doc_terms, tf, _ = bm25.term_counts(query)
+    assert set(tf.tolist()) == {1} and len(doc_terms) == 300
+    want = []
+    for i, text in data:
+        d, t, f, length = bm25.term_counts(pa.array([text]))
+        norm = 1.2 * (0.25 + 0.75 * length[0] / 60.0)
+        want.append((-round(math.fsum(weight.get(x, 0) * c * 2.2 / (c + norm) for x, c in zip(t.tolist(), f.tolist(), strict=True)), 6), i))
+    want = sorted(x for x in want if x[0] < 0)
+    assert list(zip(-best.score[0], best.doc[0], strict=True)) == want[:5]
+    assert list(zip(-every.score[0], every.doc[0], strict=True))[: len(want)] == want
+    assert (every.score[0, len(want) :] == -np.inf).all()
+
+
 def test_ties_and_clashing_columns(spark, docs):
     """Equal texts tie and come in the order of their ids; columns named like the operator's own don't matter."""
     df = docs([(5, "a b"), (3, "a b"), (4, "a b"), (None, None), (6, "c " * 30_000)])
